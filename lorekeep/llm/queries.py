@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import op6_token_counts, op8_packing
+from . import op3_training_order, op5_toxicity, op6_token_counts, op8_packing, op10_language
 
 QUERIES = {
+    "op3_training_order": op3_training_order.query,
+    "op5_toxicity": op5_toxicity.query,
     "op6_token_counts": op6_token_counts.query,
     "op8_best_fit_packing": op8_packing.query,
+    "op10_language_id": op10_language.query,
 }
 
 ORACLE: dict[str, str] = {}
