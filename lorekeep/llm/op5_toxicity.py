@@ -89,7 +89,8 @@ def fit(docs: DataFrame, labels: DataFrame, usable, id_col: str = "doc_id", text
     label = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("string").alias("class"))
     own = docs.where(usable).select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
     tenth = F.pmod(F.xxhash64(F.lit("calibration"), F.col("_id")), F.lit(10)) == 0
-    rows = materialise(own.join(label, "_id").select(tenth.alias("apart"), F.xxhash64("_id").alias("key"), "class", "text"))
+    # Merged whatever the labels' size, so that the plan is the same at every scale.
+    rows = materialise(own.hint("merge").join(label, "_id").select(tenth.alias("apart"), F.xxhash64("_id").alias("key"), "class", "text"))
     classes, counts = bounded(count_grams(rows.where(~F.col("apart") & F.col("class").isin("0", "1"))), cells)
     nothing = Toxicity(None, np.zeros(1), np.zeros(0), np.ones(0))
     if classes != ["0", "1"]:
