@@ -49,7 +49,7 @@ def crc32_mod(id_col: Column, n: int) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit(""))) % n
 
 
-def by_bytes(batches: Iterator[pa.RecordBatch], text: int, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def by_bytes(batches: Iterator[pa.RecordBatch], text: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose text column holds about ``limit`` bytes at most (one row at least)."""
     for batch in batches:
         start, size = 0, 0

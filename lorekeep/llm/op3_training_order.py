@@ -1,22 +1,24 @@
 """Training-order materialisation: fixed-stride shards in a keyed random order.
 
-Documents are encoded (their ids, then an end id) and cut into sequences of at
-most ``LENGTH`` ids.  The sequences are written once, compressed, and each task
-numbers its own; with the counts of the tasks before it, every sequence has an
-index from 0 to N - 1.  A keyed Feistel network over the least even number of
-bits that holds N, walked until it lands below N, is a permutation of these
-indices: the sequence's global slot.  Nothing about other sequences is needed to
-compute it.  Slots are dealt in ranges to shards; a shard is a file of records
-of one size, written under another name and renamed, so a lost task leaves no
-half shard, and a second run skips the shards that are complete.
-
-Record: doc_id (8 bytes), piece (4), number of ids (4), then ``LENGTH`` ids of 2
-bytes, zero after the last; all little-endian.  Slot s is at byte
+Documents are encoded (their ids, then an end id) and each task's stream of ids
+is cut into sequences of ``LENGTH``; only a task's last one is shorter.  The
+sequences are staged once, compressed, each with its task and number; with the
+counts of the tasks before it, every sequence has an index from 0 to N - 1.  A
+keyed Feistel network over the least even number of bits that holds N, walked
+until it lands below N, is a permutation of these indices: the sequence's global
+slot.  Nothing about other sequences is needed to compute it.  Slots are dealt
+in ranges to shards; a shard is a file of records of one size, written under
+another name and renamed, so a lost task leaves no half shard.  A second run
+over the same folder finds the staged sequences and skips complete shards.
+
+Record: doc_id (8 bytes) that the first id belongs to, how many ids of that
+document come before it (4), number of ids (4), then ``LENGTH`` ids of 2 bytes,
+zero after the last; all little-endian.  Slot s is at byte
 (s mod PER_SHARD) * stride of shard s div PER_SHARD.
 
-Edge cases: a null or empty text is one sequence of the end id.  A null doc_id
-is written as -1.  Repeated rows each have their sequences.  An empty table
-gives no shard.  Other columns of the input are ignored.
+Edge cases: a null or empty text is the end id alone.  A null doc_id is written
+as -1.  Repeated rows each have their ids.  An empty table gives no shard.
+Other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -33,15 +35,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_bytes, materialise, shared_dir, table
-from .word_tokens import default_path, word_encoder
+from .common import by_bytes, shared_dir, table
+from .word_tokens import default_path, release, word_encoder
 
-LENGTH = 512
-PER_SHARD = 4096
+LENGTH = 2048
+PER_SHARD = 1024
 END_ID = 49407  # the tokenizer's end-of-text id
 KEY = 0x5EED
 ROUNDS = 6
-HEAD = "<qii"  # doc_id, piece, number of ids
+HEAD = "<qii"  # doc_id, start, number of ids
 
 
 def _mix(x: np.ndarray, key: int) -> np.ndarray:
@@ -71,25 +73,41 @@ def permute(index: np.ndarray, n: int, key: int = KEY, inverse: bool = False) ->
     return out.astype(np.int64)
 
 
+SEQUENCE = "doc_id long, start int, n_ids int, ids binary, part int, number long"
+
+
 def sequences(docs: DataFrame, tokenizer_path: str, length: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, piece, n_ids, ids (compressed), part, number."""
-    schema = "doc_id long, piece int, n_ids int, ids binary, part int, number long"
+    """SEQUENCE's columns: the first id's document and place in it, the ids (compressed), and the task's numbering."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, number = word_encoder(tokenizer_path), TaskContext.get().partitionId(), 0
-        pack = zstandard.ZstdCompressor(level=1, write_checksum=False, write_content_size=True).compress
-        for batch in by_bytes(batches, 1, 4 << 20):
-            out = []
-            for doc, ids in zip(batch.column(0).to_pylist(), encoder.encode_all(batch.column(1).to_pylist())):
-                data = np.append(ids, END_ID).astype("<u2")
-                for k, start in enumerate(range(0, len(data), length)):
-                    own = data[start : start + length]
-                    out.append((doc, k, len(own), pack(own.tobytes()), part, number))
-                    number += 1
+        pack = zstandard.ZstdCompressor(level=3, write_checksum=False, write_content_size=True).compress
+        docs_, firsts, stream = [], np.zeros(0, dtype=np.int64), np.zeros(0, dtype="<u2")
+
+        def cut(upto: int) -> pa.RecordBatch:
+            nonlocal number
+            starts = np.arange(0, upto, length)
+            own = np.searchsorted(firsts, starts, "right") - 1
+            parts = [stream[s : min(s + length, upto)] for s in starts]
             kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], [x.split()[0] for x in schema.split(", ")])
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+            columns = [[docs_[i] for i in own], starts - firsts[own], list(map(len, parts)), [pack(x.tobytes()) for x in parts], [part] * len(parts), range(number, number + len(parts))]
+            number += len(parts)
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [x.split()[0] for x in SEQUENCE.split(", ")])
+
+        for batch in by_bytes(batches, 1, 1 << 20):
+            each = [np.append(ids, END_ID).astype("<u2") for ids in encoder.encode_all(batch.column(1).to_pylist())]
+            sizes = np.fromiter(map(len, each), dtype=np.int64, count=len(each))
+            docs_ += batch.column(0).to_pylist()
+            firsts = np.concatenate([firsts, len(stream) + np.cumsum(sizes) - sizes])
+            stream = np.concatenate([stream, *each])
+            if whole := len(stream) // length * length:
+                yield cut(whole)
+                keep = max(0, int(np.searchsorted(firsts, whole, "right")) - 1)
+                docs_, firsts, stream = docs_[keep:], firsts[keep:] - whole, stream[whole:]
+        if len(stream):
+            yield cut(len(stream))
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SEQUENCE)
 
 
 def _open(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
@@ -100,10 +118,18 @@ def shard_name(shard: int) -> str:
     return f"shard-{shard:08d}.bin"
 
 
+def staged_once(rows: DataFrame, path: str) -> DataFrame:
+    """The staged sequences; written unless an earlier run has finished them."""
+    fs, root = _open(path)
+    if fs.get_file_info(f"{root}/_SUCCESS").type != pyarrow.fs.FileType.File:
+        rows.write.mode("overwrite").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def write_shards(docs: DataFrame, out_uri: str, tokenizer_path: str, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Writes the shards; a row for each sequence: slot, shard, byte_offset, doc_id, piece, n_ids, ids_crc32."""
+    """Writes the shards; a row for each sequence: slot, shard, byte_offset, doc_id, start, n_ids, ids_crc32."""
     spark = docs.sparkSession
-    staged = materialise(sequences(docs, tokenizer_path, length, id_col, text_col))
+    staged = staged_once(sequences(docs, tokenizer_path, length, id_col, text_col), f"{out_uri}/staged")
     sizes = {r["part"]: r["n"] for r in staged.groupBy("part").agg(F.count("*").alias("n")).collect()}  # a row for each task
     total = sum(sizes.values())
     before = np.zeros(max(sizes, default=0) + 2, dtype=np.int64)
@@ -120,6 +146,7 @@ def write_shards(docs: DataFrame, out_uri: str, tokenizer_path: str, length: int
             yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(slot // per_shard), *batch.columns[:4]], ["slot", "shard", *batch.schema.names[:4]])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         unpack = zstandard.ZstdDecompressor().decompress
         fs, root = _open(out_uri)
         fs.create_dir(root, recursive=True)
@@ -133,7 +160,7 @@ def write_shards(docs: DataFrame, out_uri: str, tokenizer_path: str, length: int
 
         for batch in batches:
             rows = []
-            for slot, own, doc, piece, n, packed in zip(*(c.to_pylist() for c in batch.columns)):
+            for slot, own, doc, start, n, packed in zip(*(c.to_pylist() for c in batch.columns)):
                 ids = unpack(packed)
                 if own != shard:
                     close()
@@ -142,21 +169,21 @@ def write_shards(docs: DataFrame, out_uri: str, tokenizer_path: str, length: int
                     temp = f"{root}/.{shard_name(shard)}.{context.taskAttemptId()}"
                     stream = None if done else fs.open_output_stream(temp)
                 if stream is not None:
-                    stream.write(struct.pack(HEAD, -1 if doc is None else doc, piece, n) + ids.ljust(2 * length, b"\0"))
-                rows.append((slot, own, slot % per_shard * stride, doc, piece, n, zlib.crc32(ids)))
+                    stream.write(struct.pack(HEAD, -1 if doc is None else doc, start, n) + ids.ljust(2 * length, b"\0"))
+                rows.append((slot, own, slot % per_shard * stride, doc, start, n, zlib.crc32(ids)))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["slot", "shard", "byte_offset", "doc_id", "piece", "n_ids", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["slot", "shard", "byte_offset", "doc_id", "start", "n_ids", "ids_crc32"])
         close()
 
-    dealt = staged.mapInArrow(place, "slot long, shard long, doc_id long, piece int, n_ids int, ids binary")
+    dealt = staged.mapInArrow(place, "slot long, shard long, doc_id long, start int, n_ids int, ids binary")
     # A shard is a bounded range of slots; each goes whole to one task, in order.
     dealt = dealt.repartition(max(1, min(shards, 100_000)), "shard").sortWithinPartitions("slot")
-    return dealt.mapInArrow(write, "slot long, shard long, byte_offset long, doc_id long, piece int, n_ids int, ids_crc32 long")
+    return dealt.mapInArrow(write, "slot long, shard long, byte_offset long, doc_id long, start int, n_ids int, ids_crc32 long")
 
 
 def read_shards(out_uri: str, start_slot: int = 0, length: int = LENGTH, per_shard: int = PER_SHARD) -> Iterator[tuple[int, int, int, np.ndarray]]:
-    """(slot, doc_id, piece, ids) from a slot on, reading forward only."""
+    """(slot, doc_id, start, ids) from a slot on, reading forward only."""
     fs, root = _open(out_uri)
     stride = struct.calcsize(HEAD) + 2 * length
     slot = start_slot
@@ -164,8 +191,8 @@ def read_shards(out_uri: str, start_slot: int = 0, length: int = LENGTH, per_sha
         with fs.open_input_file(info.path) as f:
             f.seek(slot % per_shard * stride)
             while len(record := f.read(stride)) == stride:
-                doc, piece, n = struct.unpack_from(HEAD, record)
-                yield slot, doc, piece, np.frombuffer(record, dtype="<u2", count=n, offset=struct.calcsize(HEAD))
+                doc, start, n = struct.unpack_from(HEAD, record)
+                yield slot, doc, start, np.frombuffer(record, dtype="<u2", count=n, offset=struct.calcsize(HEAD))
                 slot += 1
         if slot % per_shard:
             return

@@ -68,7 +68,7 @@ def count_tokens(docs: DataFrame, cache_path: str, tokenizer_path: str, id_col:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(tokenizer_path)
-        for batch in by_bytes(_first_seen(batches), 1, 4 << 20):
+        for batch in by_bytes(_first_seen(batches), 1, 1 << 20):
             counts = encoder.count_all(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), pa.array([version] * batch.num_rows, pa.string()), pa.array(counts, pa.int64())], ["content_digest", "tokenizer_digest", "n_tokens"])
 

@@ -24,7 +24,7 @@ LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòó
 SIGNS = "¡¿«»‘’“”–—…"
 SPACES = "\t\n\v\f\r "
 
-MAX_WORDS = 1_500_000
+MAX_WORDS = 1_000_000
 SPACE, LETTER, DIGIT, SIGN, FOREIGN = range(5)
 TOP = 0x2100
 BASE = 0x9E3779B97F4A7C15
@@ -204,6 +204,22 @@ def word_encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
+def release() -> None:
+    """Gives the encoders' memory back, for stages that follow in the same worker."""
+    import ctypes
+
+    import pyarrow as pa
+
+    _encoders.clear()
+    for k in (0, 1):
+        _powers[k] = np.ones(1, dtype=np.uint64)
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def default_path() -> str:
     import public_tokenizers
 
