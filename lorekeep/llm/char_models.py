@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, materialise
+from .common import by_bytes, leanly, materialise
 
 ORDER = 5
 BITS = 12
@@ -82,7 +82,7 @@ def count_grams(rows: DataFrame) -> DataFrame:
                 words.clear()
         yield from emit({k: v for k, v in words.items() if v})
 
-    counted = rows.select("class", "text").mapInArrow(run, COUNTS)
+    counted = rows.select("class", "text").mapInArrow(leanly(run), COUNTS)
     return counted.groupBy("class", "gram").agg(F.sum("n").alias("n"))
 
 

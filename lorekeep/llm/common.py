@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -40,6 +42,40 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: What worker processes keep between tasks, by module; see ``lean``.
+held: dict[str, dict] = {}
+
+
+def lean(keep: str = "") -> None:
+    """Gives back what earlier stages left in this worker, but for what ``keep`` names, and freed memory to the system."""
+    for name, kept in held.items():
+        if name != keep:
+            kept.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def leanly(run: Callable[..., Iterator[pa.RecordBatch]], keep: str = "") -> Callable[..., Iterator[pa.RecordBatch]]:
+    """``run`` for mapInArrow, lean before and after."""
+
+    def outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean(keep)
+        yield from run(batches)
+        lean(keep)
+
+    return outer
+
+
+def forget(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files that nothing refers to any more, before the next phase writes its own."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -49,7 +85,7 @@ def crc32_mod(id_col: Column, n: int) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit(""))) % n
 
 
-def by_bytes(batches: Iterator[pa.RecordBatch], text: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def by_bytes(batches: Iterator[pa.RecordBatch], text: int, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose text column holds about ``limit`` bytes at most (one row at least)."""
     for batch in batches:
         start, size = 0, 0

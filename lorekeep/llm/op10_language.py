@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .char_models import CELLS, CharModel, bounded, build, by_document, count_grams
-from .common import by_bytes, crc32_mod, materialise, table
+from .common import by_bytes, crc32_mod, leanly, materialise, table
 
 REJECT = 0.001
 SURE = 60  # characters after which more text makes the score no surer
@@ -60,7 +60,7 @@ def identify(docs: DataFrame, model: CharModel) -> DataFrame:
             pred, score, entropy = by_document(batch.column(2).to_pylist(), model, choose)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(pred, pa.string()), pa.array(score), pa.array(entropy, from_pandas=True)], ["doc_id", "held_out", "lang_pred", "score", "cross_entropy"])
 
-    return docs.select("doc_id", "held_out", "text").mapInArrow(run, FOUND)
+    return docs.select("doc_id", "held_out", "text").mapInArrow(leanly(run), FOUND)
 
 
 def language(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", cells: int = CELLS) -> DataFrame:

@@ -35,8 +35,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_bytes, shared_dir, table
-from .word_tokens import default_path, release, word_encoder
+from .common import by_bytes, leanly, shared_dir, table
+from .word_tokens import default_path, word_encoder
 
 LENGTH = 2048
 PER_SHARD = 1024
@@ -107,7 +107,7 @@ def sequences(docs: DataFrame, tokenizer_path: str, length: int, id_col: str, te
         if len(stream):
             yield cut(len(stream))
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SEQUENCE)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(leanly(run, "words"), SEQUENCE)
 
 
 def _open(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
@@ -146,7 +146,6 @@ def write_shards(docs: DataFrame, out_uri: str, tokenizer_path: str, length: int
             yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(slot // per_shard), *batch.columns[:4]], ["slot", "shard", *batch.schema.names[:4]])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         unpack = zstandard.ZstdDecompressor().decompress
         fs, root = _open(out_uri)
         fs.create_dir(root, recursive=True)
@@ -176,10 +175,10 @@ def write_shards(docs: DataFrame, out_uri: str, tokenizer_path: str, length: int
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["slot", "shard", "byte_offset", "doc_id", "start", "n_ids", "ids_crc32"])
         close()
 
-    dealt = staged.mapInArrow(place, "slot long, shard long, doc_id long, start int, n_ids int, ids binary")
+    dealt = staged.mapInArrow(leanly(place), "slot long, shard long, doc_id long, start int, n_ids int, ids binary")
     # A shard is a bounded range of slots; each goes whole to one task, in order.
     dealt = dealt.repartition(max(1, min(shards, 100_000)), "shard").sortWithinPartitions("slot")
-    return dealt.mapInArrow(write, "slot long, shard long, byte_offset long, doc_id long, start int, n_ids int, ids_crc32 long")
+    return dealt.mapInArrow(leanly(write), "slot long, shard long, byte_offset long, doc_id long, start int, n_ids int, ids_crc32 long")
 
 
 def read_shards(out_uri: str, start_slot: int = 0, length: int = LENGTH, per_shard: int = PER_SHARD) -> Iterator[tuple[int, int, int, np.ndarray]]:

@@ -1,7 +1,8 @@
 """SentencePiece encoding and decoding by suffix-array matching.
 
 For models of merges (BPE) with byte fallback.  A batch's texts are cut where no
-piece can cross, before the space of each word; the different words are joined
+piece can cross, before the space of each word and around characters without a
+piece; the different words are joined
 and indexed by a suffix array (sorted up to the longest piece).  Every piece is
 looked up in it by binary search, a character at a time; its range lists all its
 occurrences.  The occurrences are edges between positions.  Sorted by the
@@ -14,7 +15,8 @@ Whether a merge crosses a seam follows from the merge trees alone: the nodes
 along the left piece's right edge and the right piece's left edge meet while
 both exist, and if they form a piece that merges before either is used up, the
 seam does not hold.  Words in which scores tie (runs of spaces) are merged with
-a queue instead; the words of a batch are remembered, up to ``REMEMBER``.
+a queue instead.  A word is known by a 64-bit hash with its length; the ids of
+``REMEMBER`` words at most are kept, so only new ones are indexed and relaxed.
 
 Edge cases: null and empty texts have no ids.  Characters without a piece become
 their bytes' pieces.  The space sign U+2581 in a text decodes as a space, as in
@@ -35,12 +37,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_bytes, table
+from .common import by_bytes, held, leanly, table
+from .word_tokens import SpanTable, span_hashes
 
-REMEMBER = 250_000
+REMEMBER = 1_000_000
 SPACE = "▁"
 LAST = np.int64(1) << 40  # a rank beyond all
-_word = re.compile(" *[^ ]+| +")
 
 
 class Vocabulary:
@@ -132,16 +134,22 @@ class Vocabulary:
 class Encoder:
     def __init__(self, vocabulary: Vocabulary):
         v = self.v = vocabulary
-        self.lengths = np.array([len(p) for p in v.pieces] + [1], dtype=np.int64)
+        self.lengths = np.array([len(p) for p in v.pieces], dtype=np.int64)
         self.letters = np.zeros((len(v.usable), v.longest), dtype=np.int64)
         for row, i in enumerate(v.usable.tolist()):
             self.letters[row, : len(v.pieces[i])] = [ord(c) + 1 for c in v.pieces[i]]
         self.seam_keys = np.zeros(0, dtype=np.int64)
         self.seam_holds = np.zeros(0, dtype=bool)
-        self.known: dict[str, int] = {}
-        self.encoded: list[np.ndarray] = []
-        self.plain = re.compile(f" [^ {SPACE}]+")
-        self.table = [b"" if i in v.silent else bytes([int(p[3:5], 16)]) if i in set(v.bytes.tolist()) else p.replace(SPACE, " ").encode() for i, p in enumerate(v.pieces)]
+        self.table = SpanTable(REMEMBER)
+        self.plain = re.compile(f"[^ {SPACE}]+| [^ {SPACE}]+")
+        self.characters = np.zeros(0x110000, dtype=bool)
+        self.characters[[ord(p) for p in v.id if len(p) == 1]] = True
+        self.characters[32] = True
+        single = set(v.bytes.tolist())
+        out = [b"" if i in v.silent else bytes([int(p[3:5], 16)]) if i in single else p.replace(SPACE, " ").encode() for i, p in enumerate(v.pieces)]
+        self.byte_sizes = np.array(list(map(len, out)), dtype=np.int64)
+        self.byte_place = np.cumsum(self.byte_sizes) - self.byte_sizes
+        self.byte_pool = np.frombuffer(b"".join(out), dtype=np.uint8)
         odd = [re.escape(p.replace(SPACE, " ")) for p in v.odd if p.strip(SPACE)]
         self.has_odd = re.compile("|".join(odd)) if odd else None
 
@@ -170,25 +178,22 @@ class Encoder:
         return holds
 
     def seams(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """``_holds`` with memory; a character without a piece (-1) never merges."""
-        out = np.ones(len(a), dtype=bool)
-        real = np.flatnonzero((a >= 0) & (b >= 0))
-        key, place = np.unique(a[real] * self.v.size + b[real], return_inverse=True)
+        """``_holds`` with memory."""
+        key, place = np.unique(a * self.v.size + b, return_inverse=True)
         at = np.searchsorted(self.seam_keys, key)
         new = np.ones(len(key), dtype=bool)
         inside = at < len(self.seam_keys)
         new[inside] = self.seam_keys[at[inside]] != key[inside]
         if new.any():
             own = key[new]
-            if len(self.seam_keys) > 4 * REMEMBER:
+            if len(self.seam_keys) > REMEMBER:
                 self.seam_keys, self.seam_holds = self.seam_keys[:0], self.seam_holds[:0]
                 own = key
             where = np.searchsorted(self.seam_keys, own)
             self.seam_holds = np.insert(self.seam_holds, where, self._holds(own // self.v.size, own % self.v.size))
             self.seam_keys = np.insert(self.seam_keys, where, own)
             at = np.searchsorted(self.seam_keys, key)
-        out[real] = self.seam_holds[at[place]]
-        return out
+        return self.seam_holds[at[place]]
 
     # matching
 
@@ -229,32 +234,27 @@ class Encoder:
         at = np.repeat(low - ends + n, n) + np.arange(int(n.sum()))
         return order[at], np.repeat(self.v.usable, n)
 
-    def _relax(self, words: list[str]) -> list[list[int]]:
-        """The ids of different words, each a space sign and its letters."""
+    def _relax(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of different words of known characters, in turn, and how many each has."""
         joined = "\0".join(words) + "\0"
-        code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64) + 1
+        code = np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32).astype(np.int64) + 1
         sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         first = np.cumsum(sizes + 1) - sizes - 1
         code[first + sizes] = 0  # between words
         start, piece = self.occurrences(code, self.suffixes(code))
-        single = np.zeros(len(code), dtype=bool)
-        single[start[self.lengths[piece] == 1]] = True
-        single[first + sizes] = True
-        alone = np.flatnonzero(~single)  # characters without a piece
-        start, piece = np.concatenate([start, alone]), np.concatenate([piece, np.full(len(alone), -1)])
         end = start + self.lengths[piece]
-        word = np.searchsorted(first, start, "right") - 1
-        at = end - first[word]
+        word = np.repeat(np.arange(len(words)), sizes + 1)
+        at = (end - first[word[start]]).astype(np.int32)
         order = np.argsort(at, kind="stable")
         start, piece, end, at = start[order], piece[order], end[order], at[order]
-        begin = start == first[word[order]]
-        last = np.full(len(code) + 1, -3, dtype=np.int64)  # the piece that ends at a position; -3: none yet
+        begin = start == first[word[start]]
+        last = np.full(len(code) + 1, -1, dtype=np.int64)  # the piece that ends at a position; -1: none yet
         broken = np.zeros(len(words), dtype=bool)
         steps = np.flatnonzero(np.diff(at, prepend=-1))
         for a, b in zip(steps.tolist(), [*steps[1:].tolist(), len(at)]):
             before = last[start[a:b]]
             ok = begin[a:b].copy()
-            more = np.flatnonzero(~ok & (before != -3))
+            more = np.flatnonzero(~ok & (before >= 0))
             ok[more] = self.seams(before[more], piece[a:b][more])
             to = end[a:b][ok]
             last[to] = piece[a:b][ok]
@@ -262,47 +262,76 @@ class Encoder:
                 to = np.sort(to)
                 twice = to[1:][to[1:] == to[:-1]]
                 if len(twice):
-                    broken[np.searchsorted(first, twice - 1, "right") - 1] = True
-        out = []
-        flat, lengths, begins = last.tolist(), self.lengths.tolist(), first.tolist()
+                    broken[word[twice - 1]] = True
+        # back from the ends, all words at a time
+        here, open_, back = first + sizes, np.arange(len(words)), []
+        while len(open_):
+            p = last[here[open_]]
+            broken[open_[p < 0]] = True
+            open_, p = open_[p >= 0], p[p >= 0]
+            back.append((open_, p))
+            here[open_] -= self.lengths[p]
+            open_ = open_[here[open_] > first[open_]]
+        n = np.bincount(np.concatenate([w for w, _ in back]), minlength=len(words))
+        slow = {k: self.v.ids(self.v.merge(words[k])[0]) for k in np.flatnonzero(broken).tolist()}
+        for k, ids in slow.items():
+            n[k] = len(ids)
+        begins = np.cumsum(n) - n
+        out = np.zeros(int(n.sum()), dtype=np.int32)
+        for step, (w, p) in enumerate(back):
+            good = ~broken[w]
+            out[begins[w[good]] + n[w[good]] - 1 - step] = p[good]
+        for k, ids in slow.items():
+            out[begins[k] : begins[k] + n[k]] = ids
+        return out, n
+
+    def _learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of different words in turn, and how many each has."""
+        plain = [k for k, w in enumerate(words) if self.plain.fullmatch(w) and not (self.has_odd and self.has_odd.search(w))]
+        found: list[np.ndarray | None] = [None] * len(words)
+        if plain:
+            ids, n = self._relax([words[k].replace(" ", SPACE) for k in plain])
+            for k, own in zip(plain, np.split(ids, np.cumsum(n)[:-1])):
+                found[k] = own
         for k, w in enumerate(words):
-            p, ids, here = begins[k] + len(w), [], begins[k]
-            while p > here and flat[p] != -3:
-                t = flat[p]
-                if t >= 0:
-                    ids.append(t)
-                    p -= lengths[t]
-                else:
-                    ids += self.v.bytes[list(w[p - here - 1].encode("utf-8", "surrogatepass"))].tolist()[::-1]
-                    p -= 1
-            out.append(self.v.ids(self.v.merge(w)[0]) if p != here or broken[k] else ids[::-1])
-        return out
+            if found[k] is None:
+                found[k] = np.array(self.v.ids(self.v.merge(w.replace(" ", SPACE))[0]), dtype=np.int32)
+        return np.concatenate(found), np.fromiter(map(len, found), dtype=np.int64, count=len(found))
 
     def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text."""
-        split = [([" " + t] if self.v.crossing else _word.findall(" " + t)) if t else [] for t in texts]
-        if len(self.known) > REMEMBER:
-            self.known.clear()
-            self.encoded.clear()
-        new = list(dict.fromkeys(w for w in chain.from_iterable(split) if w not in self.known))
-        plain = [w for w in new if self.plain.fullmatch(w) and "\0" not in w and not (self.has_odd and self.has_odd.search(w))]
-        done = dict(zip(plain, self._relax([SPACE + w[1:] for w in plain]))) if plain else {}
-        for w in new:
-            ids = done.get(w)
-            if ids is None:
-                ids = self.v.ids(self.v.merge(w.replace(" ", SPACE))[0])
-            self.known[w] = len(self.encoded)
-            self.encoded.append(np.array(ids, dtype=np.int32))
-        get, empty = self.known.__getitem__, np.zeros(0, dtype=np.int32)
-        return [np.concatenate([self.encoded[i] for i in map(get, s)]) if s else empty for s in split]
+        texts = [t or "" for t in texts]
+        if not any(texts):
+            return [np.zeros(0, dtype=np.int32) for _ in texts]
+        joined = "".join(" " + t for t in texts if t)
+        sizes = np.array([len(t) + 1 if t else 0 for t in texts])
+        code = np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32)
+        begins = np.zeros(len(code) + 1, dtype=bool)
+        begins[np.cumsum(sizes)[sizes > 0] - sizes[sizes > 0]] = True
+        begins[-1] = True
+        if not self.v.crossing:
+            space, alone = code == 32, ~self.characters[code]
+            begins[1:-1] |= space[1:] & ~space[:-1]  # before the spaces of a word
+            begins[:-1] |= alone  # a character without a piece merges with nothing
+            begins[1:] |= alone
+        bounds = np.flatnonzero(begins)
+        words = self.table.find(span_hashes(code, bounds[:-1], bounds[1:]), lambda k: self._learn([joined[a:b] for a, b in zip(bounds[k].tolist(), bounds[k + 1].tolist())]))
+        ids, counts = self.table.gather(words)
+        total = np.concatenate([[0], np.cumsum(counts)])[np.searchsorted(bounds, np.cumsum(sizes))]
+        return np.split(ids.astype(np.int32), total[:-1])
+
+    def decode_bytes(self, ids: np.ndarray) -> bytes:
+        sizes = self.byte_sizes[ids]
+        ends = np.cumsum(sizes)
+        return self.byte_pool[np.repeat(self.byte_place[ids] - ends + sizes, sizes) + np.arange(int(sizes.sum()))].tobytes()
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; unfinished bytes become the replacement character."""
-        text = b"".join(map(self.table.__getitem__, ids.tolist())).decode("utf-8", "replace")
+        text = self.decode_bytes(np.asarray(ids, dtype=np.int64)).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
 
-_encoders: dict[int, Encoder] = {}
+_encoders: dict[int, Encoder] = held.setdefault("pieces", {})
 
 
 def _encoder(vocabulary: Vocabulary) -> Encoder:
@@ -323,7 +352,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
             ids = pa.array(encoder.encode_all(batch.column(1).to_pylist()), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["doc_id", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(leanly(run, "pieces"), "doc_id long, ids array<int>")
 
 
 def decode(rows: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -336,7 +365,7 @@ def decode(rows: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: st
             texts = [None if x is None else encoder.decode(np.array(x, dtype=np.int64)) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(run, "doc_id long, text string")
+    return rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(leanly(run, "pieces"), "doc_id long, text string")
 
 
 def digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -348,10 +377,10 @@ def digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col:
         for batch in by_bytes(batches, 1):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             ids = encoder.encode_all(texts)
-            same = [encoder.decode(x) == t.replace(SPACE, " ") for x, t in zip(ids, texts)]
+            same = [encoder.decode_bytes(x) == (f" {t.replace(SPACE, ' ')}".encode() if t else b"") for x, t in zip(ids, texts)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(len, ids)), pa.int64()), pa.array([zlib.crc32(x.astype("<u4")) for x in ids], pa.int64()), pa.array(same)], ["doc_id", "n_ids", "ids_crc32", "round_trip"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_ids long, ids_crc32 long, round_trip boolean")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(leanly(run, "pieces"), "doc_id long, n_ids long, ids_crc32 long, round_trip boolean")
 
 
 def default_path() -> str:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .char_models import CELLS, CharModel, bounded, build, by_document, count_grams
-from .common import by_bytes, crc32_mod, materialise, table
+from .common import by_bytes, crc32_mod, leanly, materialise, table
 
 SAMPLE = 20_000
 STRETCHES = (1, 8, 40)  # words
@@ -104,7 +104,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable, id_col: str = "doc_id", text
 
     apart = rows.where(F.col("apart"))
     share = max(1, -(-apart.count() // SAMPLE))
-    found = apart.where(F.pmod("key", F.lit(share)) == 0).select("class", "text", "key").mapInArrow(describe, "class string, x array<double>, key long").orderBy("key", "class", "x").toPandas()
+    found = apart.where(F.pmod("key", F.lit(share)) == 0).select("class", "text", "key").mapInArrow(leanly(describe), "class string, x array<double>, key long").orderBy("key", "class", "x").toPandas()
     y = (found["class"] == "1").to_numpy(dtype=float)
     if not 0 < y.sum() < len(y):
         return nothing
@@ -123,7 +123,7 @@ def score_rows(docs: DataFrame, model: Toxicity, text_col: str = "text", as_col:
         for batch in by_bytes(batches, at):
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.score(batch.column(at).to_pylist()))], [*batch.schema.names, as_col])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(as_col, T.DoubleType())]))
+    return docs.mapInArrow(leanly(run), T.StructType([*docs.schema.fields, T.StructField(as_col, T.DoubleType())]))
 
 
 def usable(id_col: str = "doc_id"):

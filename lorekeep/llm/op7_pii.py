@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_bytes, table
+from .common import by_bytes, leanly, table
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("secret", "handle", "number")
@@ -217,7 +217,7 @@ def fit(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         if counts:
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in counts], pa.int32()), pa.array([p for _, p in counts], pa.int32()), pa.array(list(counts.values()), pa.int64())], ["kind", "pattern", "n"])
 
-    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "kind int, pattern int, n long")
+    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(leanly(run), "kind int, pattern int, n long")
     counted = rows.groupBy("kind", "pattern").agg(F.sum("n").alias("n")).collect()  # 7 * 3 ** 6 rows at most
     counted.sort()
     kind, pattern, n = (np.array([r[c] for r in counted], dtype=np.int64) for c in ("kind", "pattern", "n"))
@@ -256,7 +256,7 @@ def find(docs: DataFrame, weights: np.ndarray, id_col: str = "doc_id", text_col:
             kinds = [pa.int64()] * 5 + [pa.string()] * 2 + [pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], [x.split()[0] for x in schema.split(", ")])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(leanly(run), schema)
 
 
 def masked(text: str | None, weights: np.ndarray) -> str | None:
@@ -285,7 +285,7 @@ def redact(docs: DataFrame, weights: np.ndarray, text_col: str = "text") -> Data
             texts = pa.array([masked(t, weights) for t in batch.column(at).to_pylist()], batch.schema.field(at).type)
             yield batch.set_column(at, batch.schema.field(at), texts)
 
-    return docs.mapInArrow(run, T.StructType(docs.schema.fields))
+    return docs.mapInArrow(leanly(run), T.StructType(docs.schema.fields))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

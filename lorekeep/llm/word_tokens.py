@@ -15,6 +15,8 @@ import os
 
 import numpy as np
 
+from .common import held
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 # The contractions the splitter knows, and the letters and signs
@@ -44,13 +46,13 @@ for _c in SIGNS:
 for _c in SPACES:
     _kind[ord(_c)] = SPACE
 
-_powers = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
+_powers: dict[int, np.ndarray] = held.setdefault("powers", {})
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE to the power 0 .. n - 1 and the inverses, modulo 2 to the 64."""
-    if len(_powers[0]) < n:
-        for k, base in enumerate((BASE, pow(BASE, -1, 1 << 64))):
+    for k, base in enumerate((BASE, pow(BASE, -1, 1 << 64))):
+        if len(_powers.get(k, ())) < n:
             step = np.full(max(n, 1 << 20), base, dtype=np.uint64)
             step[0] = 1
             _powers[k] = np.cumprod(step, dtype=np.uint64)
@@ -89,6 +91,49 @@ def split(joined: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return code, at[:-1][word], at[1:][word], np.flatnonzero(kind == FOREIGN)
 
 
+class SpanTable:
+    """The ids of words seen so far, by hash; ``most`` words at most, then all are forgotten."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys = np.zeros(0, dtype=np.uint64)
+        self.place = np.zeros(0, dtype=np.int64)  # of a word's first id in the pool
+        self.sizes = np.zeros(0, dtype=np.int64)
+        self.pool = np.zeros(1 << 16, dtype=np.uint32)
+        self.used = 0
+
+    def find(self, hashes: np.ndarray, learn) -> np.ndarray:
+        """Each word's number; ``learn`` gives (ids in turn, numbers of ids) of the words at some places."""
+        if len(self.keys) > self.most:
+            self.forget()
+        keys, one, place = np.unique(hashes, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.keys, keys)
+        new = np.ones(len(keys), dtype=bool)
+        inside = at < len(self.keys)
+        new[inside] = self.keys[at[inside]] != keys[inside]
+        if new.any():
+            ids, sizes = learn(one[new])
+            while self.used + len(ids) > len(self.pool):
+                self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), dtype=np.uint32)])
+            self.pool[self.used : self.used + len(ids)] = ids
+            where = np.searchsorted(self.keys, keys[new])
+            self.keys = np.insert(self.keys, where, keys[new])
+            self.place = np.insert(self.place, where, self.used + np.cumsum(sizes) - sizes)
+            self.sizes = np.insert(self.sizes, where, sizes)
+            self.used += len(ids)
+            at = np.searchsorted(self.keys, keys)
+        return at[place]
+
+    def gather(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the words in turn, and how many each has."""
+        sizes = self.sizes[words]
+        ends = np.cumsum(sizes)
+        return self.pool[np.repeat(self.place[words] - ends + sizes, sizes) + np.arange(int(sizes.sum()))], sizes
+
+
 class WordEncoder:
     """Ids of texts as the library gives them with ``add_special_tokens=False``."""
 
@@ -102,49 +147,22 @@ class WordEncoder:
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.forget()
-
-    def forget(self) -> None:
-        self.keys = np.zeros(0, dtype=np.uint64)
-        self.place = np.zeros(0, dtype=np.int64)  # of a word's first id in the pool
-        self.sizes = np.zeros(0, dtype=np.int64)
-        self.pool = np.zeros(1 << 16, dtype=np.uint32)
-        self.used = 0
+        self.table = SpanTable(MAX_WORDS)
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
-    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
-        """keys: sorted, none known yet."""
+    def _learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids = np.array(self.library.encode(" ".join(words), add_special_tokens=False).ids, dtype=np.uint32)
         last = np.flatnonzero(self.ends[ids]) + 1
         if len(last) != len(words):  # a word that the library splits otherwise: one by one
             each = [self._whole(w) for w in words]
             ids, last = np.concatenate(each), np.cumsum([len(x) for x in each])
-        first = np.concatenate([[0], last[:-1]])
-        while self.used + len(ids) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), dtype=np.uint32)])
-        self.pool[self.used : self.used + len(ids)] = ids
-        at = np.searchsorted(self.keys, keys)
-        self.keys = np.insert(self.keys, at, keys)
-        self.place = np.insert(self.place, at, self.used + first)
-        self.sizes = np.insert(self.sizes, at, last - first)
-        self.used += len(ids)
+        return ids, np.diff(last, prepend=0)
 
     def _words(self, joined: str, code: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """The number in the table of each word."""
-        if len(self.keys) > MAX_WORDS:
-            self.forget()
-        keys, one, place = np.unique(span_hashes(code, start, end), return_index=True, return_inverse=True)
-        at = np.searchsorted(self.keys, keys)
-        new = np.ones(len(keys), dtype=bool)
-        inside = at < len(self.keys)
-        new[inside] = self.keys[at[inside]] != keys[inside]
-        if new.any():
-            own = one[new]
-            self._learn(keys[new], [joined[s:e] for s, e in zip(start[own].tolist(), end[own].tolist())])
-            at = np.searchsorted(self.keys, keys)
-        return at[place]
+        return self.table.find(span_hashes(code, start, end), lambda k: self._learn([joined[a:b] for a, b in zip(start[k].tolist(), end[k].tolist())]))
 
     def _plain(self, texts: list[str | None]):
         """The word numbers of all plain texts, how many each has, and the texts that aren't plain."""
@@ -170,10 +188,8 @@ class WordEncoder:
         if not texts:
             return []
         words, each, other = self._plain(texts)
-        sizes = self.sizes[words]
-        ends = np.cumsum(sizes)
-        ids = self.pool[np.repeat(self.place[words] - ends + sizes, sizes) + np.arange(int(sizes.sum()))]
-        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(each)])]
+        ids, sizes = self.table.gather(words)
+        bounds = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(each)])]
         out = np.split(ids, bounds[1:-1])
         for i in other:
             out[i] = self._whole(texts[i])
@@ -184,7 +200,7 @@ class WordEncoder:
         if not texts:
             return np.zeros(0, dtype=np.int64)
         words, each, other = self._plain(texts)
-        total = np.concatenate([[0], np.cumsum(self.sizes[words])])[np.concatenate([[0], np.cumsum(each)])]
+        total = np.concatenate([[0], np.cumsum(self.table.sizes[words])])[np.concatenate([[0], np.cumsum(each)])]
         out = np.diff(total)
         for i in other:
             out[i] = len(self._whole(texts[i]))
@@ -194,7 +210,7 @@ class WordEncoder:
         return self.encode_all([text])[0].tolist()
 
 
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[str, WordEncoder] = held.setdefault("words", {})
 
 
 def word_encoder(path: str) -> WordEncoder:
@@ -204,22 +220,6 @@ def word_encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
-def release() -> None:
-    """Gives the encoders' memory back, for stages that follow in the same worker."""
-    import ctypes
-
-    import pyarrow as pa
-
-    _encoders.clear()
-    for k in (0, 1):
-        _powers[k] = np.ones(1, dtype=np.uint64)
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (OSError, AttributeError):  # another C library
-        pass
-
-
 def default_path() -> str:
     import public_tokenizers
 
