@@ -20,7 +20,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_bytes, leanly, shared_dir, table
+from .common import by_bytes, leanly, materialise, shared_dir, table
 from .word_tokens import default_path, word_encoder
 
 CACHE_SCHEMA = "content_digest string, tokenizer_digest string, n_tokens long"
@@ -77,7 +77,8 @@ def count_tokens(docs: DataFrame, cache_path: str, tokenizer_path: str, id_col:
     once = content.mapInArrow(_first_seen, content.schema).repartition("content_digest")
     once.mapInArrow(leanly(encode, "words"), CACHE_SCHEMA).write.mode("append").parquet(cache_path)
     stored = read_cache(spark, cache_path).where(F.col("tokenizer_digest") == version)
-    counts = stored.groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens"))
+    # As a table of its own, so that both sides of the join are plain exchanges and a hot digest's rows can be split.
+    counts = materialise(stored.groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens")))
     return keyed.join(counts, "content_digest", "left").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "content_digest")
 
 

@@ -80,6 +80,7 @@ def decide(docs: DataFrame, id_col: str, text_col: str, hash_of: Callable[[Colum
     """doc_id, text_sha256, copies, keep_id, group_size: a row for each doc_id and text."""
     own = recipes(docs, id_col, text_col, hash_of)
     groups = own.groupBy("recipe").agg(F.min("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
+    groups = materialise(groups)  # then both sides of the join are plain exchanges, and a hot recipe's rows can be split
     return own.join(groups, "recipe").drop("recipe")
 
 
