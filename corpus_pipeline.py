@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 from lorekeep.llm import op2_ngram_join, op5_toxicity, op7_pii, op8_packing, op9_exact_dedup
 from lorekeep.llm.common import materialise, table
 from lorekeep.llm.word_tokens import default_path
+from lorekeep.session import shipped
 
 #: The stages learn, merge and pack: SQL cannot express the first.
 ORACLE_SQL = None
 
 
+@shipped
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the toxicity models score at the cut or above."""
     model = op5_toxicity.fit(docs, table(spark, sf_dir, "labels"), op5_toxicity.usable())
@@ -25,21 +27,25 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where(F.col("_lk_score") < op5_toxicity.CUT).select(*docs.columns)
 
 
+@shipped
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the first document of each text."""
     return op9_exact_dedup.keep_first(docs)
 
 
+@shipped
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the first document of each component of near copies."""
     return op2_ngram_join.keep_first(docs)
 
 
+@shipped
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Masks personal data in the texts."""
     return op7_pii.redact(docs, op7_pii.fit(docs))
 
 
+@shipped
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the documents' pieces into sequences."""
     return op8_packing.pack(docs, default_path())

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -25,3 +27,14 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(root.parent))
     spark.sparkContext.addPyFile(name)
     _shipped.add(app)
+
+
+def shipped[T](f: Callable[..., T]) -> Callable[..., T]:
+    """``f``, whose first argument is a session, with the package sent to its executors first."""
+
+    @functools.wraps(f)
+    def run(spark: SparkSession, *args, **options) -> T:
+        ship(spark)
+        return f(spark, *args, **options)
+
+    return run
