@@ -139,6 +139,13 @@ def test_all_sets_light_or_heavy(documents, monkeypatch):
         assert near(op2.jaccard_components(documents(rows))) == brute_near(rows)
 
 
+def test_keys_that_no_map_holds(documents, odd_rows, monkeypatch):
+    monkeypatch.setattr(op2, "MAP_BITS", (1, 2))
+    rows = odd_rows + near_copies()
+    assert near(op2.jaccard_components(documents(rows).repartition(3))) == brute_near(rows)
+    assert op2.jaccard_components(documents(rows).limit(0)).count() == 0
+
+
 def test_near_duplicates_equal_sql(spark):
     path = "/root/testdata/sf0.001/documents.parquet"
     con = duckdb.connect()
