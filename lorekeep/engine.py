@@ -87,8 +87,10 @@ class Engine:
         with self._lock:
             syncing.maintain(self.store, self.analyse)
 
-    def query(self, query: ContextQuery | None = None, **arguments) -> SearchResult:
-        query = query or ContextQuery(**arguments)
+    def query(self, query: ContextQuery | str = "", **arguments) -> SearchResult:
+        """A whole ContextQuery, or its fields."""
+        if not isinstance(query, ContextQuery):
+            query = ContextQuery(query, **arguments)
         query.validate()
         query.scope = paths.scope_path(self.root, query.scope)
         with self._lock:

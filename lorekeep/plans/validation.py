@@ -77,8 +77,8 @@ def facts(listed: DataFrame, root: str, rules: rule_functions.Rules | None) -> D
     return listed.select("path").mapInPandas(run, FACTS)
 
 
-def issues(spark: SparkSession, root: str, rule_file: str, path: str | None = None) -> DataFrame:
-    """path, kind, message, severity of a document or of the whole archive."""
+def issues(spark: SparkSession, root: str, rule_file: str, path: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """path, kind, message, severity of a document or of the whole archive; and the facts, kept until unpersisted."""
     rules, broken = load_rules(root, rule_file)
     every = spark.createDataFrame([(p,) for p in paths.snapshot(root, rule_file)], "path string")
     chosen = every if path is None else spark.createDataFrame([(path,)], "path string")
@@ -97,7 +97,7 @@ def issues(spark: SparkSession, root: str, rule_file: str, path: str | None = No
             parts.append(new.select("path", F.lit("tags.new").alias("kind"), F.format_string("tag `%s` is new; consider adding it to `tag_aliases`", "tag").alias("message"), F.lit("warning").alias("severity")))
     if broken is not None:
         parts.append(spark.createDataFrame([(broken.path, broken.kind, broken.message, broken.severity)], "path string, kind string, message string, severity string"))
-    return governance.union_all([p.select(*columns) for p in parts])
+    return governance.union_all([p.select(*columns) for p in parts]), found
 
 
 def format_file(root: str, path: str, rule_file: str) -> bool:
@@ -157,5 +157,7 @@ def validate(spark: SparkSession, root: str, rule_file: str, path: str | None =
                 failures.append(Issue(p, "format.conflict", "formatting conflict; file changed externally", "error"))
             except EngineError as e:
                 failures.append(Issue(p, "format.failed", str(e), "error"))
-    found = issues(spark, root, rule_file, path).orderBy("path", "kind", "message").collect()
+    reported, kept = issues(spark, root, rule_file, path)
+    found = reported.orderBy("path", "kind", "message").collect()
+    kept.unpersist()
     return ValidationResult([Issue(r["path"], r["kind"], r["message"], r["severity"]) for r in found] + failures, formatted)
