@@ -59,9 +59,14 @@ def has_keywords(text: Column, keywords: list[str], every: bool) -> Column:
     terms = keyword_terms(keywords)
     if not terms:
         return F.lit(not keywords)
-    words = tokens(text)
-    met = [all_of([F.array_contains(words, t) for t in ts]) for ts in terms]
-    return all_of(met) if every else reduce(lambda a, b: a | b, met)
+    lowered, words = F.lower(text), tokens(text)
+
+    def holds(own: list[str]) -> Column:
+        """All of some tokens; texts without their letters are not cut into words."""
+        wanted = list(dict.fromkeys(own))
+        return all_of([lowered.contains(t) for t in wanted]) & (F.size(F.array_intersect(words, F.array(*[F.lit(t) for t in wanted]))) == len(wanted))
+
+    return holds([t for ts in terms for t in ts]) if every else reduce(lambda a, b: a | b, map(holds, terms))
 
 
 def matching_units(postings: DataFrame, keywords: list[str], every: bool) -> DataFrame:

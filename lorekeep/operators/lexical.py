@@ -45,21 +45,23 @@ def occurrences(words: Column, term: str) -> Column:
     return F.size(F.filter(words, lambda w: w == term))
 
 
-def scan_bm25(units: DataFrame, terms: list[str], keep: Column | None = None, analyse=tokens) -> DataFrame:
+def scan_bm25(units: DataFrame, terms: list[str], keep: Column | None = None) -> DataFrame:
     """``units`` with a score, by one scan without an index: nothing is shuffled but one row of sums.
 
     Statistics are of all units; ``keep`` restricts the result alone.
     """
     terms = list(dict.fromkeys(terms))
-    words = units.withColumn("words", analyse(F.col("search_text")))
-    counted = words.select("*", F.size("words").alias("dl"), *[occurrences(F.col("words"), t).alias(f"tf_{i}") for i, t in enumerate(terms)]).drop("words")
+    counts = [occurrences(F.col("words"), t).alias(f"tf_{i}") for i, t in enumerate(terms)]
+    counted = units.withColumn("words", tokens(F.col("search_text"))).select("*", F.size("words").alias("dl"), *counts).drop("words")
     sums = [F.count_if(F.col(f"tf_{i}") > 0).alias(f"df_{i}") for i in range(len(terms))]
     stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *sums)  # one row
-    rows = counted if keep is None else counted.where(keep)
+    # Units are sorted out by their score, not their counts: a filter on these
+    # would be pushed down and count every text's words again for each term.
+    rows = counted.where(reduce(lambda a, b: a | b, [F.lower("search_text").contains(t) for t in terms], F.lit(False)))
+    rows = rows if keep is None else rows.where(keep)
     weights = [idf(F.col("n"), F.col(f"df_{i}")) * term_weight(F.col(f"tf_{i}"), F.col("dl"), F.col("avgdl")) for i in range(len(terms))]
-    matched = reduce(lambda a, b: a | b, [F.col(f"tf_{i}") > 0 for i in range(len(terms))], F.lit(False))
-    scored = rows.where(matched).crossJoin(F.broadcast(stats))
-    return scored.withColumn("score", reduce(lambda a, b: a + b, weights, F.lit(0.0))).select(*units.columns, "score")
+    scored = rows.crossJoin(F.broadcast(stats)).withColumn("score", reduce(lambda a, b: a + b, weights, F.lit(0.0)))
+    return scored.where(F.col("score") > 0).select(*units.columns, "score")
 
 
 def top(scored: DataFrame, k: int, *ties: str, digits: int = 6) -> DataFrame:

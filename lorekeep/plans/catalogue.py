@@ -295,8 +295,8 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def known_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = read(spark, sf_dir, "documents").select(F.get(X.tokens(F.col("text")), F.lit(0)).alias("word"))
-    return words.where(F.col("word").isNotNull()).select(F.concat("word", F.lit(".md")).alias("path")).distinct()
+    words = read(spark, sf_dir, "documents").select(F.regexp_extract(F.lower("text"), X.WORD, 0).alias("word"))
+    return words.where(F.length("word") > 0).select(F.concat("word", F.lit(".md")).alias("path")).distinct()
 
 
 @query("q17_edges", f"WITH {_EDGES} SELECT DISTINCT from_path, to_path FROM e")
