@@ -38,8 +38,8 @@ from pyspark.sql import functions as F
 from .common import by_bytes, leanly, shared_dir, table
 from .word_tokens import default_path, word_encoder
 
-LENGTH = 2048
-PER_SHARD = 1024
+LENGTH = 4096
+PER_SHARD = 512
 END_ID = 49407  # the tokenizer's end-of-text id
 KEY = 0x5EED
 ROUNDS = 6
@@ -81,7 +81,7 @@ def sequences(docs: DataFrame, tokenizer_path: str, length: int, id_col: str, te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, number = word_encoder(tokenizer_path), TaskContext.get().partitionId(), 0
-        pack = zstandard.ZstdCompressor(level=3, write_checksum=False, write_content_size=True).compress
+        pack = zstandard.ZstdCompressor(level=9, write_checksum=False, write_content_size=True).compress
         docs_, firsts, stream = [], np.zeros(0, dtype=np.int64), np.zeros(0, dtype="<u2")
 
         def cut(upto: int) -> pa.RecordBatch:
