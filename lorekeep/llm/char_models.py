@@ -3,14 +3,15 @@
 A word is a run of letters, lower-cased, with ``ORDER - 1`` start marks before
 and an end mark after it.  Counting: tasks count words, turn them into n-grams of
 characters packed in 64 bits, and emit (class, n-gram, count); Spark sums them
-over all training rows.  The driver gets a bounded table: the n-grams whose count
-reaches the least threshold at which no more than ``cells / classes`` remain
-(``cells`` is the capacity of the model, a parameter).  Lower orders use
+over all training rows.  The driver gets all of them, so the model grows with the
+different n-grams of the input.  A caller may bound it: with ``cells`` each class
+keeps its own most frequent n-grams, ``cells / classes`` at most.  Lower orders use
 continuation counts; these are each class's own, or shared by all classes.
 
-The finished model is a sorted array of n-gram keys for each order with the log
-probabilities of all classes beside them, and a sorted array of contexts with
-the classes' back-off weights.  Scoring is a binary search for each position.
+The finished model holds for each order a sorted array of n-gram keys, and for
+each key the log probabilities of the classes that have it; contexts and back-off
+weights likewise.  Its size is in proportion to the (class, n-gram) pairs.
+Scoring is a binary search for each position and order.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ from .common import by_bytes, leanly, materialise
 
 ORDER = 5
 BITS = 12
-CELLS = 1 << 22
 FLUSH_WORDS = 300_000
+PART = 1 << 16  # n-grams smoothed at a time
 END = 1
 _letters = re.compile(r"[^\W\d_]+")
 COUNTS = "class string, gram long, n long"
@@ -86,21 +87,28 @@ def count_grams(rows: DataFrame) -> DataFrame:
     return counted.groupBy("class", "gram").agg(F.sum("n").alias("n"))
 
 
-def bounded(counts: DataFrame, cells: int = CELLS) -> tuple[list[str], dict[str, tuple[np.ndarray, np.ndarray]]]:
-    """The classes, and for each its most frequent n-grams with counts."""
+def bounded(counts: DataFrame, cells: int | None = None) -> tuple[list[str], dict[str, tuple[np.ndarray, np.ndarray]]]:
+    """The classes, and for each its n-grams with counts: all, or with ``cells`` its own most frequent ones."""
     counts = materialise(counts)
     classes = sorted(r["class"] for r in counts.select("class").distinct().collect())
-    room = cells // max(1, len(classes))
-    least, total = 1, 0
-    steps = counts.groupBy(F.least(F.col("n"), F.lit(1 << 16)).alias("n")).agg(F.count("*").alias("grams"))
-    for row in sorted(steps.collect(), key=lambda r: -r["n"]):  # 65,536 rows at most
-        total += row["grams"]
-        if total > room:
-            least = row["n"] + 1
-            break
-    kept = counts.where(F.col("n") >= least).toArrow()
-    label, gram, n = (kept.column(k).to_numpy() for k in ("class", "gram", "n"))
-    return classes, {c: (gram[label == c], n[label == c]) for c in classes}
+    place = F.array_position(F.array(*map(F.lit, classes)), F.col("class")) if classes else F.lit(1)
+    kept = counts.select(place.cast("short").alias("place"), "gram", "n")
+    if cells is not None:
+        room = cells // max(1, len(classes))
+        steps = kept.groupBy("place", F.least(F.col("n"), F.lit(1 << 16)).alias("n")).agg(F.count("*").alias("grams"))
+        least, total = {}, Counter()
+        for row in sorted(steps.collect(), key=lambda r: -r["n"]):  # 65,536 rows for each class at most
+            total[row["place"]] += row["grams"]
+            if total[row["place"]] > room:
+                least.setdefault(row["place"], row["n"] + 1)
+        if least:
+            own = F.create_map(*[F.lit(x) for kv in least.items() for x in kv])[F.col("place").cast("int")]
+            kept = kept.where(F.col("n") >= F.coalesce(own, F.lit(1)))
+    found = kept.toArrow()
+    place, gram, n = (found.column(k).to_numpy() for k in ("place", "gram", "n"))
+    order = np.argsort(place, kind="stable")
+    cuts = np.searchsorted(place[order], np.arange(1, len(classes) + 2))
+    return classes, {c: (gram[order[i:j]], n[order[i:j]]) for c, i, j in zip(classes, cuts, cuts[1:])}
 
 
 def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -110,32 +118,49 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return at, keys[at] == wanted
 
 
+@dataclass
+class Cells:
+    """Values of (key, class) pairs that exist: sorted keys, where each one's classes begin, classes and values."""
+
+    keys: np.ndarray
+    begin: np.ndarray
+    classes: np.ndarray
+    values: np.ndarray
+
+    @classmethod
+    def of(cls, keys: np.ndarray, classes: np.ndarray, values: np.ndarray) -> Cells:
+        """From pairs sorted by key."""
+        own, begin = np.unique(keys, return_index=True)
+        return cls(own, np.append(begin, len(keys)), classes, values.astype(np.float32))
+
+    def hits(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each pair that exists: the place in ``wanted``, its class, its value."""
+        at, hit = _find(self.keys, wanted)
+        row = np.flatnonzero(hit)
+        first = self.begin[at[row]]
+        sizes = self.begin[at[row] + 1] - first if len(row) else first
+        cell = np.repeat(first - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        return np.repeat(row, sizes), self.classes[cell], self.values[cell]
+
+
 @dataclass
 class CharModel:
-    """Sorted arrays by order; ``classes`` names the columns."""
+    """Log probabilities by order, back-off weights by context; ``classes`` names the columns."""
 
     classes: list[str]
     floor: np.ndarray
-    grams: list[np.ndarray]
-    log_p: list[np.ndarray]
-    contexts: list[np.ndarray]
-    back_off: list[np.ndarray]
+    log_p: list[Cells]
+    back_off: list[Cells]
 
     def score(self, gram: np.ndarray, order: int | None = None) -> np.ndarray:
         """Natural log probabilities of the last characters, a column for each class."""
-        k = len(self.grams) if order is None else order
-        if k == 0:
-            return np.broadcast_to(self.floor, (len(gram), len(self.classes)))
-        own = gram & ((1 << (BITS * k)) - 1)
-        at, hit = _find(self.grams[k - 1], own)
-        out = np.empty((len(gram), len(self.classes)), dtype=np.float32)
-        out[hit] = self.log_p[k - 1][at[hit]]
-        if not hit.all():
-            miss = ~hit
-            low = self.score(own[miss], k - 1).copy()
-            at, hit = _find(self.contexts[k - 1], own[miss] >> BITS)
-            low[hit] += self.back_off[k - 1][at[hit]]
-            out[miss] = low
+        out = np.tile(self.floor, (len(gram), 1))
+        for k in range(1, (len(self.log_p) if order is None else order) + 1):
+            own = gram & ((1 << (BITS * k)) - 1)
+            row, column, value = self.back_off[k - 1].hits(own >> BITS)
+            out[row, column] += value
+            row, column, value = self.log_p[k - 1].hits(own)
+            out[row, column] = value
         return out
 
     def score_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -150,34 +175,36 @@ class CharModel:
 def build(classes: list[str], counts: dict[str, tuple[np.ndarray, np.ndarray]], shared: bool = False) -> CharModel:
     """Kneser-Ney with one discount for each order; ``shared``: the lower orders pool all classes."""
     width = len(classes)
-    grams = np.unique(np.concatenate([counts[c][0] for c in classes])) if classes else np.zeros(0, dtype=np.int64)
-    table = np.zeros((len(grams), width))
-    for j, c in enumerate(classes):
-        table[np.searchsorted(grams, counts[c][0]), j] = counts[c][1]
-    levels = [(grams, table)]
+    none = np.zeros(0, dtype=np.int64)
+    gram = np.concatenate([none, *(counts[c][0] for c in classes)])
+    own = np.repeat(np.arange(width, dtype=np.int16), [len(counts[c][0]) for c in classes])
+    n = np.concatenate([none, *(counts[c][1] for c in classes)])
+    order = np.lexsort((own, gram))
+    levels = [(gram[order], own[order], n[order])]
     for k in range(ORDER - 1, 0, -1):  # continuation counts: kinds of the next order with that suffix
-        above, seen = levels[-1][0], levels[-1][1] > 0
-        keys, place = np.unique(above & ((1 << (BITS * k)) - 1), return_inverse=True)
-        kinds = np.zeros((len(keys), width))
-        np.add.at(kinds, place, (seen.any(axis=1, keepdims=True) if shared else seen).astype(float))
-        levels.append((keys, kinds))
+        above, own, _ = levels[-1]
+        if shared:
+            keys, kinds = np.unique(np.unique(above) & ((1 << (BITS * k)) - 1), return_counts=True)
+            levels.append((np.repeat(keys, width), np.tile(np.arange(width, dtype=np.int16), len(keys)), np.repeat(kinds, width)))
+        else:
+            pairs, kinds = np.unique((above & ((1 << (BITS * k)) - 1)) * width + own, return_counts=True)
+            levels.append((pairs // max(1, width), (pairs % max(1, width)).astype(np.int16), kinds))
     levels.reverse()
-    alphabet = max(2, len(levels[0][0]) + 1)
-    model = CharModel(classes, np.full(width, -np.log(alphabet), dtype=np.float32), [], [], [], [])
-    for k, (keys, c) in enumerate(levels, 1):
+    alphabet = max(2, len(np.unique(levels[0][0])) + 1)
+    model = CharModel(classes, np.full(width, -np.log(alphabet), dtype=np.float32), [], [])
+    for k, (gram, own, c) in enumerate(levels, 1):
         ones, twos = (c == 1).sum(), (c == 2).sum()
         discount = min(0.95, max(0.1, ones / (ones + 2 * twos) if ones + twos else 0.5))
-        contexts, place = np.unique(keys >> BITS, return_inverse=True)
-        total, kinds = np.zeros((len(contexts), width)), np.zeros((len(contexts), width))
-        np.add.at(total, place, c)
-        np.add.at(kinds, place, (c > 0).astype(float))
-        weight = np.where(total > 0, discount * kinds / np.maximum(total, 1e-300), 1.0)
-        lower = np.exp(model.score(keys, k - 1).astype(np.float64))
-        p = np.maximum(c - discount, 0) / np.maximum(total[place], 1e-300) + weight[place] * lower
-        model.grams.append(keys)
-        model.log_p.append(np.log(p).astype(np.float32))
-        model.contexts.append(contexts)
-        model.back_off.append(np.log(weight).astype(np.float32))
+        pairs, place = np.unique((gram >> BITS) * width + own, return_inverse=True)
+        total, kinds = np.bincount(place, weights=c, minlength=len(pairs)), np.bincount(place, minlength=len(pairs))
+        weight = discount * kinds / np.maximum(total, 1)
+        p = (c - discount) / total[place]
+        for at in range(0, len(gram), PART):
+            some = slice(at, at + PART)
+            keys, row = np.unique(gram[some], return_inverse=True)
+            p[some] += weight[place[some]] * np.exp(model.score(keys, k - 1).astype(np.float64))[row, own[some]]
+        model.log_p.append(Cells.of(gram, own, np.log(p)))
+        model.back_off.append(Cells.of(pairs // max(1, width), (pairs % max(1, width)).astype(np.int16), np.log(weight)))
     return model
 
 

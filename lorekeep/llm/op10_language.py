@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .char_models import CELLS, CharModel, bounded, build, by_document, count_grams
+from .char_models import CharModel, bounded, build, by_document, count_grams
 from .common import by_bytes, crc32_mod, leanly, materialise, table
 
 REJECT = 0.001
@@ -29,7 +29,7 @@ SURE = 60  # characters after which more text makes the score no surer
 FOUND = "doc_id long, held_out boolean, lang_pred string, score double, cross_entropy double"
 
 
-def fit(rows: DataFrame, cells: int = CELLS) -> CharModel:
+def fit(rows: DataFrame, cells: int | None = None) -> CharModel:
     """rows: class (the language), text."""
     return build(*bounded(count_grams(rows), cells))
 
@@ -63,7 +63,7 @@ def identify(docs: DataFrame, model: CharModel) -> DataFrame:
     return docs.select("doc_id", "held_out", "text").mapInArrow(leanly(run), FOUND)
 
 
-def language(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", cells: int = CELLS) -> DataFrame:
+def language(docs: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", cells: int | None = None) -> DataFrame:
     """Learns from the rows that are not held out, and names the language of all rows."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(text_col).alias("text"), F.col(lang_col).alias("class"))
     model = fit(rows.where(~F.col("held_out") & F.col("class").isNotNull()), cells)

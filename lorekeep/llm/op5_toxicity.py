@@ -26,9 +26,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .char_models import CELLS, CharModel, bounded, build, by_document, count_grams
+from .char_models import CharModel, bounded, build, by_document, count_grams
 from .common import by_bytes, crc32_mod, leanly, materialise, table
 
+CELLS = 1 << 22
 SAMPLE = 20_000
 STRETCHES = (1, 8, 40)  # words
 CUT = 0.3

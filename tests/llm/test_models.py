@@ -128,3 +128,15 @@ def test_toxicity_edges(spark, documents, odd_rows):
     nothing = op5.fit(docs, labels.limit(0), op5.usable())
     assert {r._s for r in op5.score_rows(docs, nothing, as_col="_s").collect()} == {0.0}
     assert op5.score_rows(docs.limit(0), model).count() == 0
+
+
+def test_no_class_prunes_another(spark):
+    pairs = spark.range((1 << 21) + 10).select(F.lit("a").alias("class"), F.col("id").alias("gram"), F.lit(1).cast("long").alias("n"))
+    few = spark.createDataFrame([("b", g, 1) for g in range(5)], "class string, gram long, n long")
+    _, counts = cm.bounded(pairs.union(few))
+    assert len(counts["a"][0]) == (1 << 21) + 10 and sorted(counts["b"][0].tolist()) == list(range(5))
+    often = spark.createDataFrame([("a", g, 9) for g in range(100)], "class string, gram long, n long")
+    _, counts = cm.bounded(often.union(few), cells=220)
+    assert len(counts["a"][0]) == 100 and len(counts["b"][0]) == 5
+    _, counts = cm.bounded(often.union(few), cells=120)
+    assert len(counts["b"][0]) == 5
