@@ -29,7 +29,6 @@ from pyspark.sql import types as T
 from .char_models import CharModel, bounded, build, by_document, count_grams
 from .common import by_bytes, crc32_mod, leanly, materialise, table
 
-CELLS = 1 << 22
 SAMPLE = 20_000
 STRETCHES = (1, 8, 40)  # words
 CUT = 0.3
@@ -85,7 +84,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30)
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, usable, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", cells: int = CELLS) -> Toxicity:
+def fit(docs: DataFrame, labels: DataFrame, usable, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", cells: int | None = None) -> Toxicity:
     """Learns from the labelled documents for which ``usable`` holds."""
     label = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("string").alias("class"))
     own = docs.where(usable).select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))

@@ -140,3 +140,16 @@ def test_no_class_prunes_another(spark):
     assert len(counts["a"][0]) == 100 and len(counts["b"][0]) == 5
     _, counts = cm.bounded(often.union(few), cells=120)
     assert len(counts["b"][0]) == 5
+
+
+def test_rare_toxic_grams_stay(spark, documents, monkeypatch):
+    """Ordinary text beyond any fixed budget leaves the toxic class whole."""
+    ordinary = spark.range((1 << 21) + 10).select(F.lit("0").alias("class"), (F.col("id") + (1 << 50)).alias("gram"), F.lit(2).cast("long").alias("n"))
+    counted_rows, kept = cm.count_grams, {}
+    monkeypatch.setattr(op5, "count_grams", lambda rows: counted_rows(rows.where("class = '1'")).union(ordinary))
+    monkeypatch.setattr(op5, "build", lambda classes, counts, shared: kept.update(counts) or cm.build(classes, {c: counted(TEXTS["a"]) for c in classes}, shared))
+    docs = documents([(i, f"rare slur{'abcdefgh'[i % 8]} once" if i % 2 else "fine words") for i in range(80)] + [(90 + i, "singular") for i in range(9)])
+    labels = docs.select("doc_id", F.when((F.col("doc_id") % 2 == 1) & (F.col("doc_id") < 90) | (F.col("doc_id") == 92), 1).otherwise(0).alias("toxic"))
+    op5.fit(docs, labels, F.lit(True))
+    want = np.unique(cm.grams_of(["rare", "once", *(f"slur{c}" for c in "bdfh")])[0])
+    assert set(want.tolist()) <= set(kept["1"][0].tolist()) and len(kept["0"][0]) == (1 << 21) + 10
