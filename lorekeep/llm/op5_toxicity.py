@@ -6,7 +6,11 @@ an expression rare in both classes says little.  For each word the difference of
 the two log-likelihoods is taken; a text is described by that difference
 normalised by length over the whole text and over its most toxic stretches.  A logistic
 curve turns these into a score; it is fitted on labelled rows that the models
-did not count (a tenth of them by hash, ``SAMPLE`` rows at most).
+did not count: a tenth of them by hash, at least one id of each class that has two.
+Beyond ``SAMPLE`` rows each class is thinned by itself, the rarer one least, and
+its rows weigh as many as they stand for.  A class with a single id is learnt from;
+without calibration rows of both classes, a text reaches ``CUT`` if its mean
+log-likelihood is higher under the toxic model.
 
 Edge cases: null and empty texts, and texts without letters, have a difference
 of 0 everywhere and the score of that.  Without learnt labels of both classes
@@ -69,21 +73,41 @@ def features(log_p: np.ndarray, lengths: np.ndarray, first: np.ndarray, sizes: n
     return out
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> np.ndarray:
-    """Newton steps for the penalised logistic curve; the intercept first."""
+def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1.0, steps: int = 30) -> np.ndarray:
+    """Newton steps for the penalised logistic curve over rows that stand for n rows each; the intercept first."""
     a = np.hstack([np.ones((len(x), 1)), x])
     w = np.zeros(a.shape[1])
     penalty = ridge * np.eye(len(w))
     penalty[0, 0] = 1e-6
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        move = np.linalg.solve((a * (p * (1 - p) + 1e-9)[:, None]).T @ a + penalty, a.T @ (y - p) - penalty @ w)
+        move = np.linalg.solve((a * (n * (p * (1 - p) + 1e-9))[:, None]).T @ a + penalty, a.T @ (n * (y - p)) - penalty @ w)
         w += move
         if np.abs(move).max() < 1e-6:
             break
     return w
 
 
+def set_apart(rows: DataFrame) -> DataFrame:
+    """rows with ``apart`` set anew for classes that have no row on one side, where their ids allow it."""
+    sides = rows.groupBy("class").agg(F.count_if("apart").alias("apart"), F.count("*").alias("n")).collect()
+    apart = F.col("apart")
+    for label in sorted(r["class"] for r in sides if r["apart"] in (0, r["n"])):
+        keys = rows.where(F.col("class") == label).select("key").distinct()
+        ids = keys.count()
+        first = keys.orderBy("key").limit(max(1, ids // 10)).agg(F.max("key")).first()[0]
+        apart = F.when(F.col("class") == label, (F.col("key") <= first) if ids > 1 else F.lit(False)).otherwise(apart)
+    return rows.withColumn("apart", apart)
+
+
+def shares(apart: dict[str, int], sample: int) -> dict[str, int]:
+    """Of how many rows one is kept, for each class: none of the rarer is lost before it fills half of the sample."""
+    if sum(apart.values()) <= sample:
+        return dict.fromkeys(apart, 1)
+    rare = min(min(apart.values()), sample // 2)
+    return {c: max(1, -(-n // (sample - rare))) for c, n in apart.items()}
+
+
 def fit(docs: DataFrame, labels: DataFrame, usable, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", cells: int | None = None) -> Toxicity:
     """Learns from the labelled documents for which ``usable`` holds."""
     label = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("string").alias("class"))
@@ -91,7 +115,8 @@ def fit(docs: DataFrame, labels: DataFrame, usable, id_col: str = "doc_id", text
     tenth = F.pmod(F.xxhash64(F.lit("calibration"), F.col("_id")), F.lit(10)) == 0
     # Merged whatever the labels' size, so that the plan is the same at every scale.
     rows = materialise(own.hint("merge").join(label, "_id").select(tenth.alias("apart"), F.xxhash64("_id").alias("key"), "class", "text"))
-    classes, counts = bounded(count_grams(rows.where(~F.col("apart") & F.col("class").isin("0", "1"))), cells)
+    rows = set_apart(rows.where(F.col("class").isin("0", "1")))
+    classes, counts = bounded(count_grams(rows.where(~F.col("apart"))), cells)
     nothing = Toxicity(None, np.zeros(1), np.zeros(0), np.ones(0))
     if classes != ["0", "1"]:
         return nothing
@@ -103,14 +128,21 @@ def fit(docs: DataFrame, labels: DataFrame, usable, id_col: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.describe(batch.column(1).to_pylist()).tolist(), pa.list_(pa.float64())), batch.column(2)], ["class", "x", "key"])
 
     apart = rows.where(F.col("apart"))
-    share = max(1, -(-apart.count() // SAMPLE))
-    found = apart.where(F.pmod("key", F.lit(share)) == 0).select("class", "text", "key").mapInArrow(leanly(describe), "class string, x array<double>, key long").orderBy("key", "class", "x").toPandas()
-    y = (found["class"] == "1").to_numpy(dtype=float)
-    if not 0 < y.sum() < len(y):
-        return nothing
-    x = np.array(found["x"].tolist())
-    out.centre, out.scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-    out.weight = logistic((x - out.centre) / out.scale, y)
+    sizes = {r["class"]: r["count"] for r in apart.groupBy("class").count().collect()}
+    share = F.lit(1)
+    for c, n in shares(sizes, SAMPLE).items():
+        share = F.when(F.col("class") == c, F.lit(n)).otherwise(share)
+    found = apart.where(F.pmod("key", share) == 0).select("class", "text", "key").mapInArrow(leanly(describe), "class string, x array<double>, key long").orderBy("key", "class", "x").toPandas()
+    kept = found["class"].value_counts().to_dict()
+    if len(kept) < 2:
+        out.centre, out.scale = np.zeros(2 + len(STRETCHES)), np.ones(2 + len(STRETCHES))
+        out.weight = np.array([np.log(CUT / (1 - CUT)) - 1e-9, 1.0, 0.0, *(0.0 for _ in STRETCHES)])
+        return out
+    n = np.array([sizes[c] / kept[c] for c in found["class"]])
+    y, x = (found["class"] == "1").to_numpy(dtype=float), np.array(found["x"].tolist())
+    out.centre = np.average(x, axis=0, weights=n)
+    out.scale = np.sqrt(np.average((x - out.centre) ** 2, axis=0, weights=n)) + 1e-9
+    out.weight = logistic((x - out.centre) / out.scale, y, n)
     return out
 
 

@@ -153,3 +153,27 @@ def test_rare_toxic_grams_stay(spark, documents, monkeypatch):
     op5.fit(docs, labels, F.lit(True))
     want = np.unique(cm.grams_of(["rare", "once", *(f"slur{c}" for c in "bdfh")])[0])
     assert set(want.tolist()) <= set(kept["1"][0].tolist()) and len(kept["0"][0]) == (1 << 21) + 10
+
+
+def toxic_scores(spark, documents, toxic_ids, n=120):
+    docs = documents([(i, f"you {'idiot' if i in toxic_ids else 'friend'} of the house number goes on" if i % 5 else f"you {'idiot' if i in toxic_ids else 'friend'}") for i in range(n)] + [(n, None), (n + 1, "you idiot"), (n + 2, "you friend")])
+    labels = spark.createDataFrame([(i, int(i in toxic_ids)) for i in range(n)], "doc_id long, toxic int")
+    return {r.doc_id: r._s for r in op5.score_rows(docs, op5.fit(docs, labels, F.lit(True)), as_col="_s").collect()}
+
+
+def test_few_toxic_labels(spark, documents):
+    tenth = F.pmod(F.xxhash64(F.lit("calibration"), F.col("id")), F.lit(10)) == 0
+    sides = {r.id: r.apart for r in spark.range(120).select("id", tenth.alias("apart")).collect()}
+    out, held = [i for i, a in sides.items() if not a], [i for i, a in sides.items() if a]
+    for toxic in (out[5:11], held[:4], out[3:4], held[:1]):  # none, or all, of the class in the tenth; one id
+        got = toxic_scores(spark, documents, set(toxic))
+        assert got[121] >= op5.CUT > got[122] and got[120] < op5.CUT, toxic
+
+
+def test_thinning_keeps_the_rarer_class(spark, documents, monkeypatch):
+    assert op5.shares({"0": 900_000, "1": 40}, 20_000) == {"0": 46, "1": 1}
+    assert op5.shares({"0": 15_000, "1": 4_000}, 20_000) == {"0": 1, "1": 1}
+    assert op5.shares({"0": 30_000, "1": 60_000}, 20_000) == {"0": 3, "1": 6}
+    monkeypatch.setattr(op5, "SAMPLE", 6)
+    got = toxic_scores(spark, documents, set(range(0, 400, 40)), 400)
+    assert got[401] >= op5.CUT > got[402]
