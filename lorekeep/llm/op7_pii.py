@@ -113,7 +113,8 @@ def candidates(text: str) -> list[tuple[int, int, int]]:
     if _digits.search(text):
         out += [(4, *m.span()) for m in _secret.finditer(text) if free(*m.span())]
         out += [(6, *m.span()) for m in _card.finditer(text) if 9 <= m.end() - m.start() <= 38 and 9 <= sum(c != " " and c != "-" for c in m.group()) <= 19 and free(*m.span())]
-    if " at " in text or "at)" in text or "at]" in text:
+    low = text.lower()
+    if " at " in low or "at)" in low or "at]" in low:
         out += [(5, *m.span()) for m in _handle.finditer(text) if free(*m.span())]
     return out
 

@@ -83,3 +83,13 @@ def test_estimates_follow_the_labelers():
     pattern = np.array([sum(x * 3**i for i, x in enumerate(v)) for v in ([2, 2, 0, 2, 2, 2], [2, 2, 0, 0, 2, 2], [1, 1, 0, 0, 0, 1], [1, 1, 0, 0, 0, 2])])
     reliable, p = op7.estimate(kind, pattern, np.array([50.0, 30.0, 200.0, 100.0]))
     assert p[0] > 0.9 > 0.1 > p[2] and reliable[0, 2, 1] > reliable[0, 2, 0]
+
+
+def test_written_out_addresses_in_any_case(documents):
+    forms = ["john.doe AT example DOT com", "john (AT) example.com", "john[At]example[dot]com", "john.doe at example dot com"]
+    for form in forms:
+        assert op7.candidates(f"mail {form}, please") == [(5, 5, 5 + len(form))]
+    docs = documents([(i, f"mail {forms[i % 3]}, please") for i in range(30)])
+    weights = op7.fit(docs)
+    assert all(f"handle:5:{5 + len(forms[r.doc_id % 3])}" in r.spans for r in op7.find(docs, weights).collect())
+    assert {r.text for r in op7.redact(docs, weights).collect()} == {"mail <handle>, please"}
