@@ -1,7 +1,9 @@
 """Interpolated Kneser-Ney models over the characters of words, one for each class.
 
 A word is a run of letters, lower-cased, with ``ORDER - 1`` start marks before
-and an end mark after it.  Counting: tasks count words, turn them into n-grams of
+and an end mark after it.  Characters from code ``WIDE`` on (Han, Hangul, kana and
+others) are two symbols each, so that none shares the symbols of another; the
+n-grams are of symbols.  Counting: tasks count words, turn them into n-grams of
 characters packed in 64 bits, and emit (class, n-gram, count); Spark sums them
 over all training rows.  The driver gets all of them, so the model grows with the
 different n-grams of the input.  A caller may bound it: with ``cells`` each class
@@ -31,6 +33,7 @@ from .common import by_bytes, leanly, materialise
 
 ORDER = 5
 BITS = 12
+WIDE = 4000  # characters from here on are two symbols: one of WIDE on, then one of 2 .. WIDE - 1
 FLUSH_WORDS = 300_000
 PART = 1 << 16  # n-grams smoothed at a time
 END = 1
@@ -44,12 +47,25 @@ def words_of(text: str | None) -> list[str]:
     return found if all(map(str.isalpha, found)) else [w for w in found if any(map(str.isalpha, w))]
 
 
+def lengths_of(words: list[str]) -> np.ndarray:
+    """The words' numbers of characters, the end included."""
+    return np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1
+
+
 def grams_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The packed n-grams of all words in turn, and how many each word has."""
-    lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1
+    """The packed n-grams of all words in turn, and how many each word has (a symbol each, the end included)."""
+    lengths = lengths_of(words)
     joined = np.frombuffer((" ".join(words) + " ").encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
     ends = np.cumsum(lengths) - 1
-    code = np.where(joined < 4000, joined, 4000 + joined % 95)
+    code = joined
+    wide = joined >= WIDE
+    if wide.any():  # no letter is beyond 0x3FFFF, so that the first symbol stays below 1 << BITS
+        at = np.cumsum(1 + wide) - 1 - wide
+        code = np.zeros(len(joined) + int(wide.sum()), dtype=np.int64)
+        code[at] = np.where(wide, WIDE + joined // (WIDE - 2), joined)
+        code[at[wide] + 1] = 2 + joined[wide] % (WIDE - 2)
+        ends = at[ends]
+        lengths = np.diff(ends, prepend=-1)
     code[ends] = END
     at = np.arange(len(code)) - np.repeat(ends - lengths + 1, lengths)
     gram = code.copy()
@@ -169,7 +185,7 @@ class CharModel:
             return np.zeros((0, len(self.classes)), dtype=np.float32), np.zeros(0, dtype=np.int64)
         gram, lengths = grams_of(words)
         keys, place = np.unique(gram, return_inverse=True)
-        return np.add.reduceat(self.score(keys)[place], np.cumsum(lengths) - lengths, axis=0, dtype=np.float64), lengths
+        return np.add.reduceat(self.score(keys)[place], np.cumsum(lengths) - lengths, axis=0, dtype=np.float64), lengths_of(words)
 
 
 def build(classes: list[str], counts: dict[str, tuple[np.ndarray, np.ndarray]], shared: bool = False) -> CharModel:

@@ -177,3 +177,17 @@ def test_thinning_keeps_the_rarer_class(spark, documents, monkeypatch):
     monkeypatch.setattr(op5, "SAMPLE", 6)
     got = toxic_scores(spark, documents, set(range(0, 400, 40)), 400)
     assert got[401] >= op5.CUT > got[402]
+
+
+def test_wide_characters_stay_apart(spark, documents):
+    letters = [chr(c) for c in range(0x40000) if chr(c).isalnum() and not 0xD800 <= c < 0xE000]
+    gram, lengths = cm.grams_of(letters)
+    first = np.cumsum(lengths) - lengths
+    whole = gram[first + lengths - 1] >> cm.BITS & ((1 << 2 * cm.BITS) - 1)  # all symbols of the letter
+    assert len(np.unique(whole)) == len(letters) and set(lengths.tolist()) == {2, 3} and gram.min() > 0
+    _, n = cm.build(["a"], {"a": counted(["日本 ab"])}).score_words(["日本", "ab", "日b"])
+    assert n.tolist() == [3, 3, 3]
+    han, other = [chr(0x4E00 + 95 * i) for i in range(40)], [chr(0x4E00 + 95 * i) for i in range(40, 80)]  # alike modulo 95
+    rows = [(i, "".join((han, other)[i % 2][(i * 7 + j * 3) % 40] for j in range(20)), "xy"[i % 2]) for i in range(60)]
+    found = op10.language(documents(rows), F.col("doc_id") >= 40).collect()
+    assert all(r.lang_pred == "xy"[r.doc_id % 2] for r in found)
