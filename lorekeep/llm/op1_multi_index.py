@@ -3,7 +3,7 @@
 The vectors' two halves are quantised separately with ``CENTROIDS`` centroids
 each, fitted on ``SAMPLE`` vectors at most; every vector is indexed under its
 pair of centroids.  For a query a heap walks the pairs by summed distance,
-nearest first, until their entries make up ``SHARE`` of all; the sum at which it
+nearest first, until their entries make up ``SHARE`` of all and are ``k`` + 1 at least; the sum at which it
 stops says which pairs were visited.  Entries are dealt in blocks (a first
 centroid, then parts of bounded size), queries go to the blocks of the pairs
 they visit, also in parts of bounded size, and each block returns its nearest for
@@ -110,10 +110,11 @@ def walk(one: np.ndarray, two: np.ndarray, held: np.ndarray, wanted: int) -> flo
     return last
 
 
-def visits(queries: DataFrame, book: tuple[np.ndarray, np.ndarray], held: np.ndarray, size: int, share: float) -> DataFrame:
+def visits(queries: DataFrame, book: tuple[np.ndarray, np.ndarray], held: np.ndarray, size: int, share: float, k: int) -> DataFrame:
     """first, room, query_id, vector: a row for each first centroid of a visited pair; second centroids within ``room`` count."""
     shared = queries.sparkSession.sparkContext.broadcast((book, held))
-    wanted = int(np.ceil(held.sum() * share))
+    total = int(held.sum())
+    wanted = max(int(np.ceil(total * share)), min(total, k + 1))  # k besides the query itself
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (one, two), held = shared.value
@@ -153,7 +154,7 @@ def search(vectors: DataFrame, is_query, k: int = NEAREST, share: float = SHARE,
 
     part = F.get(parts, F.col("first"))
     blocks = entries.withColumn("part", F.pmod(F.xxhash64("vec_id"), part).cast("int")).withColumn("side", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    asked = visits(queries, book, held, size, share)
+    asked = visits(queries, book, held, size, share, k)
     asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), part - 1))).withColumn("side", F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int"))
 
     def nearest(own: pa.Table, asking: pa.Table) -> pa.Table:

@@ -78,3 +78,10 @@ def test_walk_visits_by_summed_distance():
             reached = np.cumsum(held.flatten()[order]) >= wanted
             last = sums.flatten()[order][int(np.argmax(reached)) if reached.any() else -1]
             assert op1.walk(a, b, held, wanted) == last
+
+
+def test_small_tables_by_default(spark):
+    for n in (6, 11, 15):
+        rows = vectors(n)
+        got = found(op1.search(table(spark, rows), F.lit(True)))
+        assert all(len(near) == min(10, n - 1) for near in got.values()) and len(got) == n
