@@ -171,3 +171,19 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
     chain = [(i, i + 1) for i in range(200)]
     assert set(dict(components(spark.createDataFrame(chain, "u long, v long")).collect()).values()) == {0}
+
+
+def test_alike_sets_share_a_key_at_any_similarity():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    order = op2.Order(20, [], 8, np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
+    for similarity in (Fraction(1, 10), Fraction(1, 3), Fraction(1, 2), Fraction(2, 3), Fraction(8, 10), Fraction(9, 10), Fraction(1)):
+        for boundary in (3, 100):
+            keys = op2.Keys(order, boundary, similarity)
+            for _ in range(400):
+                pool = np.unique(rng.integers(0, 1 << 63, 12).astype(np.uint64))
+                a, b = (np.sort(rng.choice(pool, rng.integers(1, 12), replace=False)) for _ in range(2))
+                both = len(np.intersect1d(a, b))
+                if len(a) + len(b) > 2 * both and both >= similarity * (len(a) + len(b) - both):
+                    assert len(np.intersect1d(keys.of(a), keys.of(b))), (similarity, boundary, a, b)
