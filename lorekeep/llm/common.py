@@ -80,6 +80,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def place(df: DataFrame, name: str) -> int:
+    """Where the column ``name`` stands: the one spelt so, else the only one that differs in letter case."""
+    exact = [i for i, c in enumerate(df.columns) if c == name]
+    found = exact or [i for i, c in enumerate(df.columns) if c.lower() == name.lower()]
+    if len(found) != 1:
+        raise ValueError(f"{len(found)} columns named {name!r} in {df.columns}")
+    return found[0]
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` with its columns named by their places, so that any names (dots, repeats, letter case, an operator's own) do."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
+def pick(df: DataFrame, **columns: str) -> DataFrame:
+    """Some columns of ``df`` under new names, whatever else it has."""
+    return numbered(df).select(*[F.col(f"c{place(df, old)}").alias(new) for new, old in columns.items()])
+
+
 def crc32_mod(id_col: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; null ids count as the empty text."""
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit(""))) % n

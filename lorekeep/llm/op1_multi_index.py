@@ -1,17 +1,20 @@
 """Nearest neighbours through an inverted multi-index.
 
 The vectors' two halves are quantised separately with ``CENTROIDS`` centroids
-each, fitted on ``SAMPLE`` vectors at most; every vector is indexed under its
-pair of centroids.  For a query a heap walks the pairs by summed distance,
-nearest first, until their entries make up ``SHARE`` of all and are ``k`` + 1 at least; the sum at which it
-stops says which pairs were visited.  Entries are dealt in blocks (a first
-centroid, then parts of bounded size), queries go to the blocks of the pairs
-they visit, also in parts of bounded size, and each block returns its nearest for
-each query by the exact distance.  The best of all blocks are the result.
-
-SHARE is what these data need: they are diffuse (the tenth neighbour is at 0.78
-of the mean distance), and the pairs that hold 0.4 of the entries hold 0.90 to
-0.94 of the ten nearest, by the table's size.  Clustered vectors need far less; it is a parameter.
+each (one for two vectors at most), fitted on ``SAMPLE`` vectors at most; every vector is listed under its
+pair of centroids.  For a query a heap walks the pairs that have entries by summed
+distance, nearest first, until their entries make up a share of all (``k`` + 1 at
+least); the sum at which it stops says which pairs were visited.  Only the
+entries of visited pairs are compared, by the exact distance; the best are the result.
+
+The share is fitted with the centroids: on the sample, ``PROBES`` of its vectors
+are looked up by brute force, and the share is the one within which
+the walk meets ``RECALL`` of their true neighbours.  Diffuse vectors need about a quarter
+of the entries, clustered ones far less; it can be given instead.
+
+Lists are dealt in blocks: runs of pairs with ``BLOCK`` entries at most, a larger
+list in several parts.  A query goes to the blocks that hold a pair it visits,
+and where more than ``BLOCK`` queries meet a block, it is dealt several times.
 
 Edge cases: vectors that are null, zero, or hold nulls or non-finite numbers take
 no part, nor do rows without an id or vectors of another length than the most
@@ -32,19 +35,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import materialise, pick, table
 
 NEAREST = 10
-CENTROIDS = 64
+CENTROIDS = 512
 SAMPLE = 20_000
-SHARE = 0.55
+PROBES = 256
+RECALL = 0.95
 BLOCK = 4096
 INDEX = "vec_id long, vector array<double>, first int, second int"
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, int]:
     """vec_id, vector of the rows that take part, and the vectors' length (0: there are none)."""
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
+    rows = pick(vectors, vec_id=id_col, vector=vector_col).select(F.col("vec_id").cast("long"), F.col("vector").cast("array<double>"))
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     rows = rows.where(F.col("vec_id").isNotNull() & F.coalesce(finite, F.lit(False)) & F.exists("vector", lambda x: x != 0))
     sizes = rows.groupBy(F.size("vector").alias("size")).count().orderBy(F.desc("count"), "size").limit(1).collect()
@@ -57,9 +61,9 @@ def squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def centroids(x: np.ndarray, k: int, rounds: int = 15) -> np.ndarray:
-    """Lloyd's algorithm from evenly spaced members of the sorted sample."""
+    """Lloyd's algorithm from evenly spaced members of the sorted sample; at most one centroid for two members."""
     x = np.unique(x, axis=0)
-    c = x[np.linspace(0, len(x) - 1, min(k, len(x))).astype(int)]
+    c = x[np.linspace(0, len(x) - 1, min(k, max(1, len(x) // 2))).astype(int)]
     for _ in range(rounds):
         own = squares(x, c).argmin(axis=1)
         for j in np.unique(own):
@@ -72,13 +76,29 @@ def matrix(column: pa.Array, size: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
 
 
-def fit(vectors: DataFrame, size: int, k: int = CENTROIDS, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
+def needed(x: np.ndarray, book: tuple[np.ndarray, np.ndarray], k: int, recall: float, probes: int = PROBES) -> float:
+    """The share of x that a walk has to visit to meet ``recall`` of the k true neighbours of some of its rows."""
+    half, rows = x.shape[1] // 2, np.unique(np.linspace(0, len(x) - 1, min(probes, len(x))).astype(int))
+    own = [squares(part, c).argmin(axis=1) for part, c in zip((x[:, :half], x[:, half:]), book)]
+    reach = []
+    for row in rows.tolist():
+        far = ((x - x[row]) ** 2).sum(axis=1)
+        walked = squares(x[row : row + 1, :half], book[0])[0, own[0]] + squares(x[row : row + 1, half:], book[1])[0, own[1]]
+        far[row] = walked[row] = np.inf
+        near = np.argsort(far, kind="stable")[: min(k, len(x) - 1)]
+        reach += ((walked[:, None] <= walked[near]).sum(axis=0) / len(x)).tolist()
+    return float(np.quantile(reach, recall)) if reach else 1.0
+
+
+def fit(vectors: DataFrame, size: int, k: int = CENTROIDS, sample: int = SAMPLE, nearest: int = NEAREST, recall: float = RECALL) -> tuple[tuple[np.ndarray, np.ndarray], float]:
+    """The centroids of both halves, and the share of the entries to visit."""
     share = max(1, -(-vectors.count() // sample))
     rows = vectors.where(F.pmod(F.xxhash64("vec_id"), F.lit(share)) == 0).limit(2 * sample).orderBy("vec_id").toArrow()
     if not rows.num_rows:  # every hash missed: so few rows that all will do
         rows = vectors.orderBy("vec_id").limit(sample).toArrow()
     x = matrix(rows.column("vector"), size)
-    return centroids(x[:, : size // 2], k), centroids(x[:, size // 2 :], k)
+    book = centroids(x[:, : size // 2], k), centroids(x[:, size // 2 :], k)
+    return book, needed(x, book, nearest, recall)
 
 
 def index(vectors: DataFrame, book: tuple[np.ndarray, np.ndarray], size: int) -> DataFrame:
@@ -96,92 +116,142 @@ def index(vectors: DataFrame, book: tuple[np.ndarray, np.ndarray], size: int) ->
 
 
 def walk(one: np.ndarray, two: np.ndarray, held: np.ndarray, wanted: int) -> float:
-    """Visits pairs by summed distance until they hold ``wanted`` entries; the sum of the last pair visited."""
+    """Visits pairs by summed distance until they hold ``wanted`` entries; the sum of the last pair visited.
+
+    The heap has one pair for each first centroid that is reached; pairs without
+    entries are passed over.
+    """
     a, b = np.argsort(one, kind="stable"), np.argsort(two, kind="stable")
-    x, y, n = one[a].tolist(), two[b].tolist(), held[np.ix_(a, b)].tolist()
-    heap, last, got = [(x[0] + y[0], 0, 0)], 0.0, 0
-    while heap and got < wanted:
-        last, i, j = heapq.heappop(heap)
-        got += n[i][j]
-        if j + 1 < len(y):
-            heapq.heappush(heap, (x[i] + y[j + 1], i, j + 1))
-        if j == 0 and i + 1 < len(x):
-            heapq.heappush(heap, (x[i + 1] + y[0], i + 1, 0))
+    counts = held[np.ix_(a, b)]
+    rows = np.flatnonzero(counts.any(axis=1))
+    x, y = one[a].tolist(), two[b]
+    heap: list[tuple[float, int, int]] = []
+    sums, sizes = [], []
+    last, got, opened = 0.0, 0, 0
+    while got < wanted:
+        # a further first centroid joins when its own distance, plus the least second one, is due
+        while opened < len(rows) and (not heap or x[rows[opened]] + y[0] <= heap[0][0]):
+            row = rows[opened]
+            at = np.flatnonzero(counts[row])
+            sums.append((x[row] + y[at]).tolist())
+            sizes.append(counts[row, at].tolist())
+            heapq.heappush(heap, (sums[opened][0], opened, 0))
+            opened += 1
+        if not heap:
+            break
+        last, row, j = heap[0]
+        got += sizes[row][j]
+        if j + 1 < len(sums[row]):
+            heapq.heapreplace(heap, (sums[row][j + 1], row, j + 1))
+        else:
+            heapq.heappop(heap)
     return last
 
 
-def visits(queries: DataFrame, book: tuple[np.ndarray, np.ndarray], held: np.ndarray, size: int, share: float, k: int) -> DataFrame:
-    """first, room, query_id, vector: a row for each first centroid of a visited pair; second centroids within ``room`` count."""
-    shared = queries.sparkSession.sparkContext.broadcast((book, held))
+def blocks(held: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each pair its first block and its number of parts: runs of pairs of ``block`` entries at most, larger pairs alone."""
+    first, parts = np.zeros(held.size, dtype=np.int64), np.ones(held.size, dtype=np.int64)
+    now, room = -1, 0
+    for pair in np.flatnonzero(held.ravel()).tolist():  # CENTROIDS ** 2 at most
+        n = int(held.ravel()[pair])
+        if n > block:
+            first[pair], parts[pair] = now + 1, -(-n // block)
+            now, room = now + int(parts[pair]), 0
+            continue
+        if n > room:
+            now, room = now + 1, block
+        first[pair] = now
+        room -= n
+    return first.reshape(held.shape), parts.reshape(held.shape)
+
+
+def visits(queries: DataFrame, book: tuple[np.ndarray, np.ndarray], held: np.ndarray, place: tuple[np.ndarray, np.ndarray], size: int, share: float, k: int) -> DataFrame:
+    """block, stop, query_id, vector: a row for each block with a visited pair; pairs of a sum up to ``stop`` are visited."""
+    shared = queries.sparkSession.sparkContext.broadcast((book, held, place))
     total = int(held.sum())
     wanted = max(int(np.ceil(total * share)), min(total, k + 1))  # k besides the query itself
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (one, two), held = shared.value
+        (one, two), held, (first, parts) = shared.value
+        some = held > 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = matrix(batch.column(1), size)
-            d1, d2 = squares(x[:, : size // 2], one), squares(x[:, size // 2 :], two)
-            room = np.array([walk(a, b, held, wanted) for a, b in zip(d1, d2)])[:, None] - d1 + 1e-9
-            row, first = np.nonzero(room >= d2.min(axis=1)[:, None])
-            yield pa.RecordBatch.from_arrays([pa.array(first.astype(np.int32)), pa.array(room[row, first]), *(c.take(pa.array(row)) for c in batch.columns)], ["first", "room", "query_id", "vector"])
-
-    return queries.mapInArrow(run, "first int, room double, query_id long, vector array<double>")
-
-
-def search(vectors: DataFrame, is_query, k: int = NEAREST, share: float = SHARE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id, score (Euclidean distance); ``is_query`` is a condition on vec_id."""
+            for at in range(0, batch.num_rows, 64):
+                own = batch.slice(at, 64)
+                x = matrix(own.column(1), size)
+                d1, d2 = squares(x[:, : size // 2], one), squares(x[:, size // 2 :], two)
+                stop = np.array([walk(a, b, held, wanted) for a, b in zip(d1, d2)]) + 1e-9
+                row, block = [], []
+                for i in range(len(x)):
+                    met = some & (d1[i][:, None] + d2[i] <= stop[i])
+                    n = parts[met]
+                    every = np.unique(np.repeat(first[met], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+                    row += [i] * len(every)
+                    block += every.tolist()
+                yield pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(stop[row]), *(c.take(pa.array(row, pa.int64())) for c in own.columns)], ["block", "stop", "query_id", "vector"])
+
+    return queries.mapInArrow(run, "block long, stop double, query_id long, vector array<double>")
+
+
+def search(vectors: DataFrame, is_query, k: int = NEAREST, share: float | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """query_id, rank, vec_id, score (Euclidean distance), compared (entries whose distance to the query was taken).
+
+    ``is_query`` is a condition on vec_id; ``share`` of the entries is visited, or as much as the sample asks for.
+    """
     spark = vectors.sparkSession
-    out = "query_id long, vec_id long, score double"
     rows, size = usable(vectors, id_col, vector_col)
     if size < 2:
         rows, size = rows.select("vec_id", F.concat("vector", F.array(F.lit(0.0))).alias("vector")), size + 1
     rows = materialise(rows)
     if not rows.limit(1).count():
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    book = fit(rows, size)
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double, compared long")
+    book, enough = fit(rows, size, nearest=k)
     nth = F.row_number().over(W.partitionBy("vector").orderBy("vec_id"))
     entries = rows.withColumn("nth", nth).where(f"nth <= {k + 1}").drop("nth")
     entries = materialise(index(entries, book, size))
     held = np.zeros((len(book[0]), len(book[1])), dtype=np.int64)
     for r in entries.groupBy("first", "second").count().collect():  # CENTROIDS ** 2 rows at most
         held[r["first"], r["second"]] = r["count"]
-    parts = F.array(*[F.lit(max(1, -(-int(n) // BLOCK))) for n in held.sum(axis=1)])
-    queries = rows.where(is_query)
-    groups = max(1, -(-queries.count() // BLOCK))
-    shared = spark.sparkContext.broadcast(book)
-
-    part = F.get(parts, F.col("first"))
-    blocks = entries.withColumn("part", F.pmod(F.xxhash64("vec_id"), part).cast("int")).withColumn("side", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    asked = visits(queries, book, held, size, share, k)
-    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), part - 1))).withColumn("side", F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int"))
+    place = blocks(held, BLOCK)
+    asked = materialise(visits(rows.where(is_query), book, held, place, size, enough if share is None else share, k))
+    # Blocks that many queries meet are dealt several times; blocks that none meets not at all.
+    met = materialise(asked.groupBy("block").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("sides")))
+    asked = asked.join(met, "block").withColumn("side", F.pmod(F.xxhash64("query_id"), F.col("sides")).cast("int")).drop("sides")
+    shared = spark.sparkContext.broadcast((book, place))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, (first, parts) = shared.value
+        for batch in batches:
+            ids, one, two = (batch.column(c).to_numpy() for c in (0, 2, 3))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(first[one, two] + ids % parts[one, two])], [*batch.schema.names, "block"])
 
     def nearest(own: pa.Table, asking: pa.Table) -> pa.Table:
-        found = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))]
+        (one, two), _ = shared.value
+        found = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(0, dtype=np.int64))]
         if own.num_rows and asking.num_rows:
-            ids, x = own.column("vec_id").to_numpy(), matrix(own.column("vector"), size)
-            order = np.argsort(ids)
-            ids, x, second = ids[order], x[order], own.column("second").to_numpy()[order]
-            q, qid, room = matrix(asking.column("vector"), size), asking.column("query_id").to_numpy(), asking.column("room").to_numpy()
+            pair = own.column("first").to_numpy().astype(np.int64) * len(two) + own.column("second").to_numpy()
+            order = np.lexsort((own.column("vec_id").to_numpy(), pair))
+            ids, x = own.column("vec_id").to_numpy()[order], matrix(own.column("vector"), size)[order]
+            pairs, sizes = np.unique(pair, return_counts=True)  # the lists, one after the other
+            q, qid, stop = matrix(asking.column("vector"), size), asking.column("query_id").to_numpy(), asking.column("stop").to_numpy()
             for at in range(0, len(q), 256):
                 some = slice(at, at + 256)
-                far = squares(q[some], x)
-                far[(squares(q[some][:, size // 2 :], shared.value[1]) > room[some][:, None])[:, second]] = np.inf
-                far[qid[some][:, None] == ids] = np.inf
-                least = np.partition(far, min(k, far.shape[1]) - 1, axis=1)[:, min(k, far.shape[1]) - 1]
-                i, j = np.nonzero((far <= least[:, None] + 1e-9 * (1 + np.abs(least[:, None]))) & np.isfinite(far))
-                exact = np.sqrt(((q[some][i] - x[j]) ** 2).sum(axis=1))
-                best = np.lexsort((ids[j], exact, i))
-                i, j, exact = i[best], j[best], exact[best]
-                keep = np.arange(len(i)) - np.searchsorted(i, i) < k
-                found.append((qid[some][i[keep]], ids[j[keep]], exact[keep]))
-        return pa.table(dict(zip(("query_id", "vec_id", "score"), (pa.array(np.concatenate(c)) for c in zip(*found)))))
-
-    keys = ["first", "part", "side"]
-    near = blocks.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(nearest, out)
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
-    return near.withColumn("rank", rank).where(f"rank <= {k}").select("query_id", "rank", "vec_id", "score")
+                sums = squares(q[some][:, : size // 2], one)[:, pairs // len(two)] + squares(q[some][:, size // 2 :], two)[:, pairs % len(two)]
+                for i, visited in enumerate(sums <= stop[some][:, None], at):
+                    here = np.flatnonzero(np.repeat(visited, sizes))
+                    here = here[ids[here] != qid[i]]
+                    far = np.sqrt(((x[here] - q[i]) ** 2).sum(axis=1))
+                    best = np.lexsort((ids[here], far))[:k]
+                    count = np.zeros(len(best), dtype=np.int64)
+                    count[:1] = len(here)
+                    found.append((np.full(len(best), qid[i]), ids[here][best], far[best], count))
+        return pa.table(dict(zip(("query_id", "vec_id", "score", "own"), (pa.array(np.concatenate(c)) for c in zip(*found)))))
+
+    dealt = entries.mapInArrow(deal, f"{INDEX}, block long").join(met, "block").withColumn("side", F.explode(F.sequence(F.lit(0), F.col("sides") - 1))).drop("sides")
+    keys = ["block", "side"]
+    near = dealt.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(nearest, "query_id long, vec_id long, score double, own long")
+    own = W.partitionBy("query_id")
+    ranked = near.withColumn("rank", F.row_number().over(own.orderBy("score", "vec_id"))).withColumn("compared", F.sum("own").over(own))
+    return ranked.where(f"rank <= {k}").select("query_id", "rank", "vec_id", "score", "compared")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lorekeep.llm import op1_multi_index as op1
@@ -59,13 +60,42 @@ def test_edges(spark):
     assert found(op1.search(table(spark, [(1, [1.0]), (2, [3.0])]), F.lit(True))) == {1: [(2.0, 2)], 2: [(2.0, 1)]}
 
 
-def test_recall(spark):
-    data = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+@pytest.mark.parametrize(("sf", "step"), [("sf0.01", 10), ("sf0.1", 40)])
+def test_recall_and_entries_compared(spark, sf, step):
+    data = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
     rows = [(r.vec_id, [float(v) for v in r.embedding]) for r in data.collect()]
-    got = found(op1.search(data, F.col("vec_id") % 40 == 0))
+    df = op1.search(data, F.col("vec_id") % step == 0).persist()
+    got = found(df)
     want = brute(rows, list(got))
     hits = sum(len({i for _, i in got[q]} & {i for _, i in want[q]}) for q in want)
     assert len(got) == 50 and hits >= 0.9 * 10 * len(want)
+    assert df.agg(F.max("compared")).first()[0] <= len(rows) / 3
+    df.unpersist()
+
+
+def test_clustered_vectors_need_few_entries(spark):
+    rng = np.random.default_rng(4)
+    centre = rng.normal(size=(40, 16)) * 10
+    rows = [(i, [float(v) for v in centre[i % 40] + rng.normal(size=16)]) for i in range(4000)]
+    df = op1.search(table(spark, rows), F.col("vec_id") % 100 == 0).persist()
+    got = found(df)
+    want = brute([(i, np.float32(x).astype(float).tolist()) for i, x in rows], list(got))
+    assert sum(len({i for _, i in got[q]} & {i for _, i in want[q]}) for q in want) >= 0.9 * 10 * len(want)
+    assert df.agg(F.max("compared")).first()[0] <= 0.1 * len(rows)
+    df.unpersist()
+
+
+def test_blocks_hold_every_pair():
+    rng = np.random.default_rng(3)
+    held = rng.integers(0, 6, (9, 11)) * (rng.random((9, 11)) < 0.6)
+    held[4, 4] = 57
+    first, parts = op1.blocks(held, 10)
+    own = {}
+    for i, j in zip(*np.nonzero(held)):
+        for b in range(first[i, j], first[i, j] + parts[i, j]):
+            own.setdefault(b, []).append(held[i, j] / parts[i, j])
+    assert sorted(own) == list(range(len(own))) and all(sum(n) <= 10 for n in own.values())
+    assert parts[4, 4] == 6
 
 
 def test_walk_visits_by_summed_distance():
@@ -76,8 +106,9 @@ def test_walk_visits_by_summed_distance():
             sums = np.add.outer(a, b)
             order = np.argsort(sums, axis=None)
             reached = np.cumsum(held.flatten()[order]) >= wanted
-            last = sums.flatten()[order][int(np.argmax(reached)) if reached.any() else -1]
-            assert op1.walk(a, b, held, wanted) == last
+            there = np.flatnonzero(held.flatten()[order])  # pairs without entries are passed over
+            last = sums.flatten()[order][int(np.argmax(reached)) if reached.any() else there[-1]]
+            assert op1.walk(a, b, held, wanted) == pytest.approx(last, abs=0)
 
 
 def test_small_tables_by_default(spark):
