@@ -99,6 +99,11 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return numbered(df).select(*[F.col(f"c{place(df, old)}").alias(new) for new, old in columns.items()])
 
 
+def id_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id (long), text."""
+    return pick(df, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("long"), "text")
+
+
 def crc32_mod(id_col: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; null ids count as the empty text."""
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit(""))) % n

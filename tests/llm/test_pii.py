@@ -2,7 +2,10 @@
 
 import hashlib
 import re
+import time
 
+import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -77,14 +80,72 @@ def test_documents(documents):
 
 
 def test_estimates_follow_the_labelers():
-    import numpy as np
-
     kind = np.array([4, 4, 4, 4])
     pattern = np.array([sum(x * 3**i for i, x in enumerate(v)) for v in ([2, 2, 0, 2, 2, 2], [2, 2, 0, 0, 2, 2], [1, 1, 0, 0, 0, 1], [1, 1, 0, 0, 0, 2])])
     reliable, p = op7.estimate(kind, pattern, np.array([50.0, 30.0, 200.0, 100.0]))
     assert p[0] > 0.9 > 0.1 > p[2] and reliable[0, 2, 1] > reliable[0, 2, 0]
 
 
+@pytest.mark.parametrize("text", ["%", "0", "-", "+1 ", "a", "_", ".", "1.", "@", "a@", "(", " at ", "(at)", "x at ", "1 1-", "+", "\"", "é", "%at) at ", "a.b at c dot ", "x@y.zz ", "deadbeef12345678 ", "1.2.3."])
+def test_finders_are_linear(text):
+    long = text * (1_000_000 // len(text))
+    weights = op7.train(*[np.zeros(0, dtype=np.int64)] * 4)
+    for more in (long, long + " at ", long + "@", long + "@x.y"):
+        began = time.process_time()
+        op7.base_spans(more)
+        op7.handles(more)
+        assert time.process_time() - began < 2
+    began = time.process_time()
+    op7.spans_of(long[:100_000], weights)
+    assert time.process_time() - began < 2
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([*"ab.%1 é_", " at ", "(at)", "[AT]", " dot ", "(dot)"]), max_size=30).map("".join))
+def test_written_out_addresses_by_hand(text):
+    """A slow finder that tries every separator and every local part."""
+    sign = re.compile(r" at | ?\(at\) ?| ?\[at\] ?", re.I)
+    host = re.compile(r"[A-Za-z0-9-]+(?:(?: dot | ?\(dot\) ?| ?\[dot\] ?|\.)[A-Za-z0-9-]+)+", re.I)
+    out, free = [], 0
+    for m in sign.finditer(text):
+        local = re.search(r"[A-Za-z0-9._%+-]*\Z", text[free : m.start()]) if m.start() >= free else None
+        start = free + local.start() if local else 0
+        after = host.match(text, m.end())
+        if local and local.group() and after and not (start and re.match(r"\w", text[start - 1])):
+            out.append((start, after.end()))
+            free = after.end()
+    assert op7.handles(text) == out
+
+
+def test_classifier_sees_the_span_and_its_context():
+    """Spans of equal votes fall apart by what the votes don't say."""
+    a, b = 'token = "1eb9c654e721b4f812088970e66a6345"', "7536784127813050 4845168114407329 x"
+    looks = [op7.look(t, *m.span()) for t in (a, b) for m in [op7._secret.search(t)]]
+    votes = [op7.votes(t, 4, *m.span()) for t in (a, b) for m in [op7._secret.search(t)]]
+    assert looks[0] != looks[1]
+    w = op7.train(np.array([4, 4]), np.array(votes), np.array(looks), np.array([50.0, 50.0]))
+    assert (op7.design(np.array([4, 4]), np.array(looks)) @ w >= 0).tolist() == [True, False]
+
+
+def test_planted_rows(spark):
+    """Against a plain reading of the made-up documents: secrets are assigned tokens of 40 hexadecimal digits."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = op7.find(docs, op7.fit(docs)).join(docs.select("doc_id", "text"), "doc_id").collect()
+    planted = re.compile(r"token = \"([0-9a-f]{40})\"", re.I)
+    want = {(r.doc_id, *m.span(1)) for r in got for m in planted.finditer(r.text or "")}
+    added = {(r.doc_id, int(a), int(b)) for r in got for k, a, b in (s.split(":") for s in r.spans.split(",") if s) if k not in op7.BASE}
+    assert len(want) > 10 and len(added & want) >= 0.95 * len(want) and len(added & want) >= 0.95 * len(added)
+    assert all(r.n_spans == r.n_email + r.n_ip + r.n_card + r.n_phone + r.n_added for r in got)
+
+
+def test_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "mail x@y.zz", "k"), (2, None, "k")], "doc_id long, text string, k string").toDF("doc_id", "text", "a.b")
+    masked = op7.redact(docs, op7.fit(docs))
+    assert masked.columns == docs.columns and {r[1] for r in masked.collect()} == {"mail <email>", None}
+    twins = docs.toDF("doc_id", "text", "TEXT")
+    assert {tuple(r) for r in op7.redact(twins, op7.fit(twins)).collect()} == {(1, "mail <email>", "k"), (2, None, "k")}
+
+
 def test_written_out_addresses_in_any_case(documents):
     forms = ["john.doe AT example DOT com", "john (AT) example.com", "john[At]example[dot]com", "john.doe at example dot com"]
     for form in forms:
