@@ -1,8 +1,11 @@
 """Word tokens, counts, packing and shards."""
 
+import shutil
 import zlib
+from pathlib import Path
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -108,9 +111,9 @@ def test_shards(spark, documents, odd_rows):
     options = {"length": 64, "per_shard": 32}
     rows = op3.write_shards(docs, out, default_path(), **options).collect()
     assert sorted(r.slot for r in rows) == list(range(len(rows)))
-    read = {slot: (doc, start, x) for slot, doc, start, x in op3.read_shards(out, **options)}
+    read = {slot: (doc, start, x) for slot, doc, start, x in op3.read_shards(out)}
     assert sorted(read) == list(range(len(rows)))
-    assert [s for s, *_ in op3.read_shards(out, 40, **options)] == list(range(40, len(rows)))
+    assert [s for s, *_ in op3.read_shards(out, 40)] == list(range(40, len(rows)))
     for r in rows:
         doc, start, x = read[r.slot]
         assert (doc, start, len(x), zlib.crc32(x.astype("<u2").tobytes())) == (-1 if r.doc_id is None else r.doc_id, r.start, r.n_ids, r.ids_crc32)
@@ -120,11 +123,56 @@ def test_shards(spark, documents, odd_rows):
     ends = np.flatnonzero(stream == op3.END_ID) if not any("endoftext" in (t or "") for _, t in odd_rows) else None
     assert ends is None or len(ends) == len(odd_rows)
     assert len(stream) == sum(len(ids(t)) + 1 for _, t in odd_rows)
+    folder = Path(out.removeprefix("file://"))
+    stamps = {p.name: p.stat().st_mtime_ns for p in folder.glob("shard-*")}
     again = op3.write_shards(docs, out, default_path(), **options).collect()  # resumes: nothing is written anew
-    assert sorted(again) == sorted(rows)
+    assert sorted(again, key=str) == sorted(rows, key=str) and stamps == {p.name: p.stat().st_mtime_ns for p in folder.glob("shard-*")}
     assert op3.write_shards(docs.limit(0), shared_dir(spark), default_path()).count() == 0
 
 
+def shards_of(out):
+    return {p.name: p.read_bytes() for p in Path(out.removeprefix("file://")).glob("shard-*")}
+
+
+def test_shards_of_another_run_are_refused(spark, documents, tmp_path):
+    rows = [(i, prose(60, i)) for i in range(40)]
+    docs, options = documents(rows).repartition(3), {"length": 32, "per_shard": 16}
+    out = shared_dir(spark)
+    op3.write_shards(docs, out, default_path(), **options)
+    before = shards_of(out)
+    other = tmp_path / "other.json"
+    other.write_text(Path(default_path()).read_text().replace('"version": "1.0"', '"version":  "1.0"', 1) + " ")
+    changed = documents([(i, t + " end" if i == 7 else t) for i, t in rows]).repartition(3)
+    for d, path, more in ((docs, default_path(), {"key": 9}), (changed, default_path(), {}), (docs, str(other), {}), (docs, default_path(), {"length": 64})):
+        with pytest.raises(ValueError, match="another run"):
+            op3.write_shards(d, out, path, **(options | more))
+        assert shards_of(out) == before
+    index = op3.write_shards(changed, out, default_path(), **options, key=9, replace=True).collect()
+    fresh = shared_dir(spark)
+    want = op3.write_shards(changed, fresh, default_path(), **options, key=9).collect()
+    assert shards_of(out) == shards_of(fresh) and sorted(index, key=str) == sorted(want, key=str)
+
+
+def test_a_killed_run_goes_on(spark, documents):
+    docs, options = documents([(i, prose(60, i)) for i in range(40)]).repartition(3), {"length": 32, "per_shard": 16}
+    out = shared_dir(spark)
+    index = op3.write_shards(docs, out, default_path(), **options).collect()
+    whole, folder = shards_of(out), Path(out.removeprefix("file://"))
+    (folder / "shard-00000001.bin").unlink()
+    (folder / "shard-00000002.bin").write_bytes(b"half")
+    (folder / ".shard-00000001.bin.77").write_bytes(b"half")
+    shutil.rmtree(folder / "index")
+    (folder / "staged" / "_SUCCESS").unlink()  # lost while staging
+    again = op3.write_shards(docs, out, default_path(), **options).collect()
+    assert shards_of(out) == whole and sorted(again, key=str) == sorted(index, key=str) and not list(folder.glob(".shard*"))
+
+
+def test_too_many_ids_are_refused(documents, spark, monkeypatch):
+    monkeypatch.setattr(op3, "END_ID", 1 << 16)
+    with pytest.raises(ValueError, match="16 bits"):
+        op3.write_shards(documents([(1, "x")]), shared_dir(spark), default_path())
+
+
 def test_training_order_changes_with_the_key(spark, documents):
     docs = documents([(i, prose(60, i)) for i in range(20)]).repartition(2)
     a, b = (op3.write_shards(docs, shared_dir(spark), default_path(), length=32, key=k).orderBy("slot").select("ids_crc32").collect() for k in (1, 2))
