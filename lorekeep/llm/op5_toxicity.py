@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .char_models import CharModel, bounded, build, by_document, count_grams
-from .common import by_bytes, crc32_mod, leanly, materialise, table
+from .common import by_bytes, crc32_mod, leanly, materialise, numbered, pick, place, table
 
 SAMPLE = 20_000
 STRETCHES = (1, 8, 40)  # words
@@ -110,8 +110,8 @@ def shares(apart: dict[str, int], sample: int) -> dict[str, int]:
 
 def fit(docs: DataFrame, labels: DataFrame, usable, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", cells: int | None = None) -> Toxicity:
     """Learns from the labelled documents for which ``usable`` holds."""
-    label = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("string").alias("class"))
-    own = docs.where(usable).select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
+    label = pick(labels, _id=id_col, label=label_col).where("label IS NOT NULL").groupBy("_id").agg(F.max("label").cast("string").alias("class"))
+    own = pick(docs, **{id_col: id_col, "_text": text_col}).where(usable).select(F.col(f"`{id_col}`").alias("_id"), F.col("_text").alias("text"))
     tenth = F.pmod(F.xxhash64(F.lit("calibration"), F.col("_id")), F.lit(10)) == 0
     # Merged whatever the labels' size, so that the plan is the same at every scale.
     rows = materialise(own.hint("merge").join(label, "_id").select(tenth.alias("apart"), F.xxhash64("_id").alias("key"), "class", "text"))
@@ -147,15 +147,21 @@ def fit(docs: DataFrame, labels: DataFrame, usable, id_col: str = "doc_id", text
 
 
 def score_rows(docs: DataFrame, model: Toxicity, text_col: str = "text", as_col: str = "score") -> DataFrame:
-    """docs with a column more."""
+    """``docs``, whatever its columns, with one more at the end."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index(text_col)
+    at, rows = place(docs, text_col), numbered(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, at):
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.score(batch.column(at).to_pylist()))], [*batch.schema.names, as_col])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.score(batch.column(at).to_pylist()))], [*batch.schema.names, "score"])
 
-    return docs.mapInArrow(leanly(run), T.StructType([*docs.schema.fields, T.StructField(as_col, T.DoubleType())]))
+    return rows.mapInArrow(leanly(run), T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())])).toDF(*docs.columns, as_col)
+
+
+def keep_clean(docs: DataFrame, model: Toxicity, text_col: str = "text", cut: float = CUT) -> DataFrame:
+    """The rows of ``docs`` whose text scores below the cut, with all their columns."""
+    rows = numbered(docs)
+    return score_rows(rows, model, rows.columns[place(docs, text_col)]).where(F.col("score") < cut).select(*rows.columns).toDF(*docs.columns)
 
 
 def usable(id_col: str = "doc_id"):

@@ -2,8 +2,10 @@
 
 A text is normalised (each run of white space becomes one space) and cut where
 its content says so: a chunk has 512 characters at least and ends after the next
-word that ends in one of four letter pairs, or after 4096 characters.  Texts that
-share a passage so share the chunks inside it.
+cut mark, or after 4096 characters.  Cut marks: a word that ends in one of four letter pairs, a
+semicolon or brace before a space, some pairs of a digit and a letter (for texts without words), and from
+U+0250 on every 64th character (for scripts without spaces).  Texts that share a
+passage so share the chunks inside it.
 
 Every distinct chunk moves once: the chunk store deals them by hash and chunk
 and finds the 64-bit hashes that stand for more than one chunk.  A hash that
@@ -26,11 +28,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, table
+from .common import materialise, numbered, pick, place, table
 
 # A run of white space that is not already a single space.
 RUN = r"\x20[\x20\x09-\x0D]+|[\x09-\x0D][\x20\x09-\x0D]*"
-CHUNK = r"(?s).{512,4096}?(?:[eo][nt]\x20)|.{1,4096}"
+MARKS = r"[eo][nt]\x20|[;}]\x20|[07][AKak]|[" + "".join(f"\\u{c:04X}" for c in range(0x250, 0xD800, 64)) + "]"
+CHUNK = rf"(?s).{{512,4096}}?(?:{MARKS})|.{{1,4096}}"
 MOST_COLLISIONS = 10_000
 
 ORACLE = r"""
@@ -70,8 +73,9 @@ def identifier(store: DataFrame, hash_of: Callable[[Column], Column]) -> Callabl
 
 def recipes(docs: DataFrame, id_col: str, text_col: str, hash_of: Callable[[Column], Column]) -> DataFrame:
     """doc_id, text_sha256, recipe, copies: rows that agree in doc_id and text count as copies of one."""
-    name = identifier(chunk_store(docs, text_col, hash_of), hash_of)
-    text = docs.select(F.col(id_col).alias("doc_id"), normalised(F.col(text_col)).alias("t"))
+    docs = pick(docs, doc_id=id_col, text=text_col)
+    name = identifier(chunk_store(docs, "text", hash_of), hash_of)
+    text = docs.select("doc_id", normalised(F.col("text")).alias("t"))
     listed = text.select("doc_id", F.sha2("t", 256).alias("text_sha256"), F.transform(chunks(F.col("t")), lambda c: name(c)).alias("recipe"))
     return materialise(listed.groupBy("doc_id", "text_sha256", "recipe").agg(F.count("*").alias("copies")))
 
@@ -94,17 +98,19 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
     first = decide(docs, id_col, text_col, F.xxhash64).where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
-    first = materialise(first.select(F.col("doc_id").alias("_lk_id"), F.col("text_sha256").alias("_lk_sha"), F.col("copies").alias("_lk_copies")))
-    rows = docs.withColumn("_lk_own", F.sha2(normalised(F.col(text_col)), 256))
+    first = materialise(first.select("keep_id", F.col("text_sha256").alias("sha"), "copies"))
+    plain = numbered(docs)  # c0, c1 and so on, beside which no other name can clash
+    key, text = (F.col(f"c{place(docs, c)}") for c in (id_col, text_col))
+    rows = plain.withColumn("own", F.sha2(normalised(text), 256))
 
     def matching(chosen: DataFrame) -> DataFrame:
-        return rows.join(chosen, F.col(id_col).eqNullSafe(F.col("_lk_id")) & (F.col("_lk_own") == F.col("_lk_sha")), "left_semi")
+        return rows.join(chosen, key.eqNullSafe(F.col("keep_id")) & (F.col("own") == F.col("sha")), "left_semi")
 
-    out = matching(first.where("_lk_copies = 1")).select(*docs.columns)
-    repeated = first.where("_lk_copies > 1")
+    out = matching(first.where("copies = 1"))
+    repeated = first.where("copies > 1")
     if repeated.limit(1).count():
-        out = out.unionByName(matching(repeated).dropDuplicates(["_lk_own"]).select(*docs.columns))
-    return out
+        out = out.union(matching(repeated).dropDuplicates(["own"]))
+    return out.select(*plain.columns).toDF(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

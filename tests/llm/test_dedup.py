@@ -187,3 +187,30 @@ def test_alike_sets_share_a_key_at_any_similarity():
                 both = len(np.intersect1d(a, b))
                 if len(a) + len(b) > 2 * both and both >= similarity * (len(a) + len(b) - both):
                     assert len(np.intersect1d(keys.of(a), keys.of(b))), (similarity, boundary, a, b)
+
+
+def test_columns_of_any_name(spark):
+    from lorekeep.llm import op5_toxicity as op5
+
+    rows = [(1, "one two three four five six", "a"), (2, "one two  three four five six", "b"), (3, None, "c"), (3, None, "c"), (None, "x", "d")]
+    plain = spark.createDataFrame(rows, "doc_id long, text string, extra string")
+    for names in (["doc_id", "text", "_lk_own"], ["doc_id", "text", "a.b"], ["doc_id", "text", "TEXT"], ["doc_id", "text", "node"], ["doc_id", "text", "c1"], ["doc_id", "text", "sha"]):
+        docs = plain.toDF(*names)
+        kept = op9.keep_first(docs)
+        assert kept.columns == names and sorted((str(r[0]), str(r[1]), r[2]) for r in kept.collect()) == sorted((str(i), str(t), x) for i, t, x in rows[:1] + rows[3:])
+        assert exact(op9.exact_dedup(docs)) == brute_exact([r[:2] for r in rows])
+        clean = op5.keep_clean(docs, op5.Toxicity(None, np.zeros(1), np.zeros(0), np.ones(0)))
+        assert clean.columns == names and clean.count() == len(rows)
+    for names in (["doc_id", "text", "_lk_node"], ["doc_id", "text", "a.b"], ["doc_id", "text", "Text"]):
+        near_kept = op2.keep_first(plain.toDF(*names))
+        assert near_kept.columns == names and sorted(str(r[2]) for r in near_kept.collect()) == ["a", "c", "c", "d"]
+
+
+def test_chunks_follow_the_content_in_any_script(spark):
+    """A passage that moves is cut alike, also without spaces."""
+    rng = np.random.default_rng(1)
+    scripts = ["".join(map(chr, rng.integers(0x4E00, 0x9FA5, 30_000))), "".join(rng.choice(list("0123456789ABCDEFabcdef"), 30_000)), "".join(f"call(x{k});" + " " * (k % 2) for k in range(3000))]
+    for text in scripts:
+        df = spark.createDataFrame([(text,), ("ab" + text,)], "t string")
+        a, b = (set(r[0]) for r in df.select(op9.chunks(F.col("t"))).collect())
+        assert len(a & b) >= len(a) - 3 and len(a) > 10
