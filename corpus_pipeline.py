@@ -8,7 +8,6 @@ their input, whatever these are; the last returns a row for each packed piece.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lorekeep.llm import op2_ngram_join, op5_toxicity, op7_pii, op8_packing, op9_exact_dedup
 from lorekeep.llm.common import materialise, table
@@ -23,8 +22,7 @@ ORACLE_SQL = None
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the toxicity models score at the cut or above."""
     model = op5_toxicity.fit(docs, table(spark, sf_dir, "labels"), op5_toxicity.usable())
-    scored = op5_toxicity.score_rows(docs, model, as_col="_lk_score")
-    return scored.where(F.col("_lk_score") < op5_toxicity.CUT).select(*docs.columns)
+    return op5_toxicity.keep_clean(docs, model)
 
 
 @shipped
