@@ -14,7 +14,7 @@ from .config import RULE_FILE
 from .errors import FileError
 from .functions import embedding
 from .functions import rules as rule_functions
-from .functions.text import bigram_tokens, tokens
+from .functions.text import Analyser
 from .operators import governance
 from .plans import retrieval, syncing, validation
 from .plans.contracts import ContextQuery, SearchResult, SyncReport, ValidationResult
@@ -52,19 +52,19 @@ class RulesResult:
 class Engine:
     """Operations run one at a time: a lock in this process, a file lock between processes."""
 
-    def __init__(self, spark: SparkSession, wiki_root: Path | str, projection_dir: Path | str, embedder=None, rule_file: str = RULE_FILE, cjk_bigrams: bool = False):
+    def __init__(self, spark: SparkSession, wiki_root: Path | str, projection_dir: Path | str, embedder=None, rule_file: str = RULE_FILE, cjk_bigrams: bool = False, analyser: Analyser | None = None):
         try:
             Path(wiki_root).mkdir(parents=True, exist_ok=True)
         except OSError as e:
             raise FileError(f"{wiki_root}: {e}") from e
         self.spark, self.rule_file, self.embedder = spark, rule_file, embedder
         self.root = Path(os.path.realpath(wiki_root))
-        self.analyse = bigram_tokens if cjk_bigrams else tokens
+        self.analyse = analyser or Analyser(cjk_bigrams=cjk_bigrams)
         rules = self.root / rule_file
         if not rules.exists():
             rules.write_text(DEFAULT_RULES, encoding="utf-8")
         ship(spark)
-        self.store = Store(spark, projection_dir, getattr(embedder, "model", None), getattr(embedder, "dimensions", None))
+        self.store = Store(spark, projection_dir, getattr(embedder, "model", None), getattr(embedder, "dimensions", None), self.analyse.signature())
         self._lock = threading.RLock()
 
     @classmethod
@@ -95,7 +95,7 @@ class Engine:
         query.scope = paths.scope_path(self.root, query.scope)
         with self._lock:
             report = self.sync()
-            result = retrieval.run(self.store, query, self.embedder)
+            result = retrieval.run(self.store, query, self.embedder, self.analyse)
         result.degraded += report.degraded
         return result
 

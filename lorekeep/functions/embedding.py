@@ -1,8 +1,7 @@
-"""Text to vectors: one interface, a local ONNX model, and a hashing stand-in for tests."""
+"""Text to vectors: a local ONNX model."""
 
 from __future__ import annotations
 
-import hashlib
 from pathlib import Path
 
 import numpy as np
@@ -13,23 +12,6 @@ BATCH = 32
 DIMENSIONS = {"BAAI/bge-small-zh-v1.5": 512}  # fixed values
 
 
-class HashingEmbedder:
-    """Words hashed to signs of a few places; the same text always gives the same unit vector."""
-
-    def __init__(self, dimensions: int = 64, model: str = "hashing"):
-        self.dimensions, self.model = dimensions, model
-
-    def embed(self, texts: list[str]) -> list[list[float]]:
-        out = np.zeros((len(texts), self.dimensions))
-        for row, text in zip(out, texts):
-            for word in text.lower().split():
-                h = hashlib.sha256(word.encode()).digest()
-                for k in range(4):
-                    row[int.from_bytes(h[4 * k : 4 * k + 4], "little") % self.dimensions] += 1 if h[16 + k] & 1 else -1
-        norm = np.linalg.norm(out, axis=1, keepdims=True)
-        return (out / np.where(norm == 0, 1, norm)).tolist()
-
-
 class OnnxEmbedder:
     """A sentence model in a folder (model.onnx, tokenizer.json): the first token's state, normalised."""
 

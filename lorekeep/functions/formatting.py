@@ -36,11 +36,14 @@ def format_markdown(source: str) -> str | None:
     """The formatted text, or None if it is formatted already."""
     start = _prefix(source)
     body = source[start:].replace("\r\n", "\n")
-    kept = [(b.start, b.end) for b in blocks.scan(body) if b.kind in ("fence", "code", "html")]
+    # verbatim blocks by whole lines, in order; walked once beside the lines
+    kept = sorted((body.rfind("\n", 0, b.start) + 1, b.end) for b in blocks.scan(body) if b.kind in ("fence", "code", "html"))
     out: list[str] = []
-    at, blank = 0, True
+    at, blank, now = 0, True, 0
     for line in body.split("\n"):
-        inside = any(a <= at <= b and (at > a or body[a:at].strip() == "") for a, b in kept)
+        while now < len(kept) and kept[now][1] <= at:
+            now += 1
+        inside = now < len(kept) and kept[now][0] <= at
         at += len(line) + 1
         if inside:
             out.append(line)

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+import unicodedata
+from dataclasses import asdict, dataclass
 
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -45,6 +48,66 @@ def bigram_tokens(c: Column) -> Column:
     return F.flatten(F.transform(parts, pairs))
 
 
+def bigram_tokens_of(text: str) -> list[str]:
+    """The same pairs on the driver."""
+    parted = regex.sub(r"(?<=\p{Han})(?=\p{Han})", "\u0001", text.lower())
+    out = []
+    for word in "".join(ch if ch == "\u0001" or ch.isalpha() or ch.isnumeric() else " " for ch in parted).split(" "):
+        letters = word.split("\u0001")
+        out += [a + b for a, b in zip(letters, letters[1:])] if len(letters) > 1 else [word] * bool(word)
+    return out
+
+
+# Words that an index may leave out.
+STOP_WORDS = "a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with".split()
+_bare = {chr(c): unicodedata.normalize("NFD", chr(c))[0] for c in range(0xC0, 0x250) if len(unicodedata.normalize("NFD", chr(c))) > 1}
+
+
+@dataclass(frozen=True)
+class Analyser:
+    """How texts become terms, in the JVM for tables and on the driver for queries; both sides must use one.
+
+    ``longest`` drops longer words, ``fold`` takes marks off Latin letters, ``stop``
+    leaves out common English words, ``stem`` takes off plural endings, and
+    ``cjk_bigrams`` cuts runs of Han characters into pairs.
+    """
+
+    cjk_bigrams: bool = False
+    longest: int = 40
+    fold: bool = False
+    stop: bool = False
+    stem: bool = False
+
+    def __call__(self, c: Column) -> Column:
+        c = F.lower(F.coalesce(c, F.lit("")))
+        if self.fold:
+            c = F.translate(c, "".join(_bare), "".join(_bare.values()))
+        words = bigram_tokens(c) if self.cjk_bigrams else tokens(c)
+        words = F.filter(words, lambda w: F.length(w) <= self.longest)
+        if self.stop:
+            words = F.filter(words, lambda w: ~w.isin(STOP_WORDS))
+        if self.stem:
+            words = F.transform(words, lambda w: F.regexp_replace(F.regexp_replace(w, IES, "y"), PLURAL, ""))
+        return words
+
+    def words(self, text: str) -> list[str]:
+        text = text.lower()
+        if self.fold:
+            text = text.translate(str.maketrans(_bare))
+        words = [w for w in (bigram_tokens_of if self.cjk_bigrams else tokens_of)(text) if len(w) <= self.longest]
+        if self.stop:
+            words = [w for w in words if w not in STOP_WORDS]
+        return [re.sub(PLURAL, "", re.sub(IES, "y", w)) for w in words] if self.stem else words
+
+    def signature(self) -> dict:
+        return asdict(self)
+
+
+# Plural endings: "ies" becomes "y", an "s" after another letter than s, u and i goes.
+IES, PLURAL = r"(?<=[^ae])ies$", r"(?<=[a-z][^sui])s$"
+PLAIN = Analyser()
+
+
 def in_scope(path: Column, scope: str) -> Column:
     """Literal directory or document; the empty scope holds everything."""
     scope = scope.strip("/")

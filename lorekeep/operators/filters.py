@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import in_scope, tokens, tokens_of
+from ..functions.text import PLAIN, Analyser, in_scope, tokens, tokens_of
 
 
 def facet(key: str, value: object) -> str:
@@ -50,8 +50,8 @@ def structural(scope: str = "", tags: list[str] = (), note_types: list[str] = ()
     return out & modified_within(after, before)
 
 
-def keyword_terms(keywords: list[str]) -> list[list[str]]:
-    return [t for t in (list(dict.fromkeys(tokens_of(k))) for k in keywords) if t]
+def keyword_terms(keywords: list[str], words=tokens_of) -> list[list[str]]:
+    return [t for t in (list(dict.fromkeys(words(k))) for k in keywords) if t]
 
 
 def has_keywords(text: Column, keywords: list[str], every: bool) -> Column:
@@ -69,9 +69,9 @@ def has_keywords(text: Column, keywords: list[str], every: bool) -> Column:
     return holds([t for ts in terms for t in ts]) if every else reduce(lambda a, b: a | b, map(holds, terms))
 
 
-def matching_units(postings: DataFrame, keywords: list[str], every: bool) -> DataFrame:
+def matching_units(postings: DataFrame, keywords: list[str], every: bool, analyse: Analyser = PLAIN) -> DataFrame:
     """unit_kind, chunk_id of the units that meet the keywords, from the postings."""
-    groups = keyword_terms(keywords)
+    groups = keyword_terms(keywords, analyse.words)
     pairs = [(i, t) for i, ts in enumerate(groups) for t in ts]
     if not pairs:
         return postings.where(F.lit(False)).select("unit_kind", "chunk_id").distinct()

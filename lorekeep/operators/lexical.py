@@ -2,24 +2,27 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import PLAIN, Analyser
 
 K1, B = 1.2, 0.75
 
 
-def postings(units: DataFrame, analyse=tokens) -> DataFrame:
-    """unit_kind, term, chunk_id, tf, dl: the inverted index of ``search_text``, with each unit's length."""
-    words = units.select("unit_kind", "chunk_id", analyse(F.col("search_text")).alias("words"))
-    each = words.select("unit_kind", "chunk_id", F.size("words").alias("dl"), F.explode("words").alias("term"))
-    return each.groupBy("unit_kind", "term", "chunk_id", "dl").agg(F.count("*").cast("int").alias("tf")).select("unit_kind", "term", "chunk_id", "tf", "dl")
+def postings(units: DataFrame, analyse: Analyser = PLAIN, terms: list[str] | None = None) -> DataFrame:
+    """unit_kind, term, chunk_id, tf, dl, path: the inverted index of ``search_text``, with each unit's length.
+
+    With ``terms``, their postings alone: words are sorted out before anything is exploded.
+    """
+    words = analyse(F.col("search_text"))
+    each = units.select("unit_kind", "chunk_id", "path", words.alias("words"))
+    own = F.col("words") if terms is None else F.filter("words", lambda w: w.isin(sorted(set(terms))))
+    each = each.select("unit_kind", "chunk_id", "path", F.size("words").alias("dl"), F.explode(own).alias("term"))
+    return each.groupBy("unit_kind", "term", "chunk_id", "dl", "path").agg(F.count("*").cast("int").alias("tf")).select("unit_kind", "term", "chunk_id", "tf", "dl", "path")
 
 
-def unit_stats(units: DataFrame, analyse=tokens) -> DataFrame:
+def unit_stats(units: DataFrame, analyse: Analyser = PLAIN) -> DataFrame:
     """unit_kind, n, avgdl: one row for each kind."""
     return units.select("unit_kind", F.size(analyse(F.col("search_text"))).alias("dl")).groupBy("unit_kind").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
 
@@ -41,29 +44,6 @@ def bm25(index: DataFrame, stats: DataFrame, terms: list[str]) -> DataFrame:
     return scored.groupBy("unit_kind", "chunk_id").agg(F.sum(weight).alias("score"))
 
 
-def occurrences(words: Column, term: str) -> Column:
-    return F.size(F.filter(words, lambda w: w == term))
-
-
-def scan_bm25(units: DataFrame, terms: list[str], keep: Column | None = None) -> DataFrame:
-    """``units`` with a score, by one scan without an index: nothing is shuffled but one row of sums.
-
-    Statistics are of all units; ``keep`` restricts the result alone.
-    """
-    terms = list(dict.fromkeys(terms))
-    counts = [occurrences(F.col("words"), t).alias(f"tf_{i}") for i, t in enumerate(terms)]
-    counted = units.withColumn("words", tokens(F.col("search_text"))).select("*", F.size("words").alias("dl"), *counts).drop("words")
-    sums = [F.count_if(F.col(f"tf_{i}") > 0).alias(f"df_{i}") for i in range(len(terms))]
-    stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *sums)  # one row
-    # Units are sorted out by their score, not their counts: a filter on these
-    # would be pushed down and count every text's words again for each term.
-    rows = counted.where(reduce(lambda a, b: a | b, [F.lower("search_text").contains(t) for t in terms], F.lit(False)))
-    rows = rows if keep is None else rows.where(keep)
-    weights = [idf(F.col("n"), F.col(f"df_{i}")) * term_weight(F.col(f"tf_{i}"), F.col("dl"), F.col("avgdl")) for i in range(len(terms))]
-    scored = rows.crossJoin(F.broadcast(stats)).withColumn("score", reduce(lambda a, b: a + b, weights, F.lit(0.0)))
-    return scored.where(F.col("score") > 0).select(*units.columns, "score")
-
-
 def top(scored: DataFrame, k: int, *ties: str, digits: int = 6) -> DataFrame:
     """The k best; scores that agree to ``digits`` places are ties."""
     return scored.withColumn("score", F.round("score", digits)).orderBy(F.desc("score"), *ties).limit(k)

@@ -35,19 +35,21 @@ class ContextQuery:
 
     def validate(self) -> None:
         after, before = self.modified_after_ns, self.modified_before_ns
-        good = (
-            LIMITS[0] <= self.document_limit <= LIMITS[1]
-            and LIMITS[0] <= self.fragment_limit <= LIMITS[1]
-            and len(self.query.encode("utf-8", "surrogatepass")) <= 8192
-            and len(self.keywords) <= 20
-            and all(len(k.encode("utf-8", "surrogatepass")) <= 256 for k in self.keywords)
-            and max(map(len, (self.tags, self.note_types, self.metadata_filters))) <= 100
-            and not (after is not None and before is not None and after > before)
-            and self.keyword_mode in ("any", "all")
-            and self.order in ("relevance", "modified_desc")
-        )
-        if not good:
-            raise ConfigError("invalid query limits")
+        size = lambda text: len(text.encode("utf-8", "surrogatepass"))
+        fits = {
+            "document_limit": LIMITS[0] <= self.document_limit <= LIMITS[1],
+            "fragment_limit": LIMITS[0] <= self.fragment_limit <= LIMITS[1],
+            "query": size(self.query) <= 8192,
+            "keywords": len(self.keywords) <= 20 and all(size(k) <= 256 for k in self.keywords),
+            "tags": len(self.tags) <= 100,
+            "note_types": len(self.note_types) <= 100,
+            "metadata_filters": len(self.metadata_filters) <= 100,
+            "modified_after_ns": after is None or before is None or after <= before,
+            "keyword_mode": self.keyword_mode in ("any", "all"),
+            "order": self.order in ("relevance", "modified_desc"),
+        }
+        if not all(fits.values()):
+            raise ConfigError(f"out of range: {', '.join(name for name, ok in fits.items() if not ok)}")
 
 
 @dataclass

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..errors import EmbeddingError
 from ..functions.chunk import file_stem
-from ..functions.text import tokens_of
+from ..functions.text import PLAIN, Analyser
 from ..operators import filters, lexical, ranking, relations
 from .contracts import ContextQuery, Hit, Related, SearchResult
 from .store import Store
@@ -17,12 +17,12 @@ from .store import Store
 MOST_RELATED = 5
 
 
-def candidates(store: Store, query: ContextQuery, kind: str) -> DataFrame:
+def candidates(store: Store, query: ContextQuery, kind: str, analyse: Analyser = PLAIN) -> DataFrame:
     """The units of a kind that meet every constraint."""
     found = store.table("units").where(F.col("unit_kind") == kind)
     found = found.where(filters.structural(query.scope, query.tags, query.note_types, query.metadata_filters, query.modified_after_ns, query.modified_before_ns))
     if query.keywords:
-        met = filters.matching_units(store.table("postings").where(F.col("unit_kind") == kind), query.keywords, query.keyword_mode == "all")
+        met = filters.matching_units(store.table("postings").where(F.col("unit_kind") == kind), query.keywords, query.keyword_mode == "all", analyse)
         found = found.join(met.select("chunk_id"), "chunk_id", "left_semi")
     return found
 
@@ -30,11 +30,21 @@ def candidates(store: Store, query: ContextQuery, kind: str) -> DataFrame:
 def embed_query(query: ContextQuery, embedder, degraded: list[str]) -> list[float] | None:
     if embedder is None or not query.query.strip() or query.order == "modified_desc":
         return None
+    vectors = guarded("query vector", degraded, lambda: embedder.embed([query.query]), [])
+    if vectors and len(vectors[0]) == embedder.dimensions:
+        return list(vectors[0])
+    if vectors is not None and not degraded:
+        degraded.append(f"query vector: {embedder.model} gave none of {embedder.dimensions} numbers")
+    return None
+
+
+def guarded[T](leg: str, degraded: list[str], run: Callable[[], T], otherwise: T) -> T:
+    """What ``run`` gives; a leg that fails is named and the query goes on with the rest."""
     try:
-        return embedder.embed([query.query])[0]
-    except EmbeddingError as e:
-        degraded.append(str(e))
-        return None
+        return run()
+    except Exception as e:  # noqa: BLE001  models, files and Spark raise anything
+        degraded.append(f"{leg}: {type(e).__name__}: {str(e).splitlines()[0][:200] if str(e) else ''}")
+        return otherwise
 
 
 def hits(store: Store, rows: DataFrame) -> list[Hit]:
@@ -47,10 +57,10 @@ def hits(store: Store, rows: DataFrame) -> list[Hit]:
     ]
 
 
-def retrieve(store: Store, query: ContextQuery, kind: str, limit: int, vector: list[float] | None) -> DataFrame:
+def retrieve(store: Store, query: ContextQuery, kind: str, limit: int, vector: list[float] | None, analyse: Analyser = PLAIN) -> DataFrame:
     """The best units of a kind, with score, sources and place."""
-    own = candidates(store, query, kind)
-    terms = list(dict.fromkeys([*tokens_of(query.query), *(t for k in query.keywords for t in tokens_of(k))]))
+    own = candidates(store, query, kind, analyse)
+    terms = list(dict.fromkeys([*analyse.words(query.query), *(t for k in query.keywords for t in analyse.words(k))]))
     index = store.table("postings").where(F.col("unit_kind") == kind)
     scored = lexical.bm25(index, store.table("stats"), terms).select("chunk_id", "score")
     matched = own.join(scored, "chunk_id")
@@ -91,10 +101,19 @@ def related(store: Store, path: str) -> list[Related]:
     return [Related(r["path"], file_stem(r["path"]), r["direction"], r["relation_type"], r["status"], r["section_source"], context.get((r["from_path"], r["section_source"]), "")) for r in rows]
 
 
-def run(store: Store, query: ContextQuery, embedder=None) -> SearchResult:
+def evidence(store: Store, query: ContextQuery, kind: str, limit: int, vector: list[float] | None, analyse: Analyser, degraded: list[str]) -> list[Hit]:
+    """Hits of both legs; of the keywords alone if that fails; none if they fail too."""
+    if vector is not None:
+        found = guarded(f"{kind}s by keyword and vector", degraded, lambda: hits(store, retrieve(store, query, kind, limit, vector, analyse)), None)
+        if found is not None:
+            return found
+    return guarded(f"{kind}s by keyword", degraded, lambda: hits(store, retrieve(store, query, kind, limit, None, analyse)), [])
+
+
+def run(store: Store, query: ContextQuery, embedder=None, analyse: Analyser = PLAIN) -> SearchResult:
     degraded: list[str] = []
     if query.is_recent():
-        rows = candidates(store, query, "document").withColumn("score", F.lit(0.0)).withColumn("sources", F.array(F.lit("recency")))
+        rows = candidates(store, query, "document", analyse).withColumn("score", F.lit(0.0)).withColumn("sources", F.array(F.lit("recency")))
         order = [F.desc("modified_at_ns"), "path"]
         best = rows.orderBy(*order).limit(query.document_limit)
         documents = hits(store, ranking.ranked(best, "chunk_id", *order).withColumnRenamed("rank", "place").join(best, "chunk_id"))
@@ -102,9 +121,9 @@ def run(store: Store, query: ContextQuery, embedder=None) -> SearchResult:
         strategy = "recent"
     else:
         vector = embed_query(query, embedder, degraded)
-        documents = hits(store, retrieve(store, query, "document", query.document_limit, vector))
-        fragments = hits(store, retrieve(store, query, "fragment", query.fragment_limit, vector))
+        documents = evidence(store, query, "document", query.document_limit, vector, analyse, degraded)
+        fragments = evidence(store, query, "fragment", query.fragment_limit, vector, analyse, degraded)
         strategy = "hybrid" if any("semantic" in h.sources for h in documents + fragments) else "keyword"
     first = next(iter(documents + fragments), None)
-    links = related(store, first.path) if query.include_relations and first else []
+    links = guarded("relations", degraded, lambda: related(store, first.path), []) if query.include_relations and first else []
     return SearchResult(strategy, documents, fragments, links, degraded)

@@ -30,40 +30,51 @@ SCHEMAS = {
 PARTITIONED = {"units": ["unit_kind"], "postings": ["unit_kind"]}
 
 
+#: Tables that hold what was read from files; the others follow from them.
+READ = {"documents", "units", "edges"}
+
+
 class Store:
-    def __init__(self, spark: SparkSession, folder: Path | str, model: str | None = None, dimensions: int | None = None):
-        self.spark, self.folder, self.model, self.dimensions = spark, Path(folder), model, dimensions
+    """``analyser`` is what describes the index's terms; an index of other terms is built anew."""
+
+    def __init__(self, spark: SparkSession, folder: Path | str, model: str | None = None, dimensions: int | None = None, analyser: dict | None = None):
+        self.spark, self.folder, self.model, self.dimensions, self.analyser = spark, Path(folder), model, dimensions, analyser
         self.folder.mkdir(parents=True, exist_ok=True)
 
-    @property
-    def signature(self) -> str:
-        return hashlib.sha256(json.dumps([VERSION, SCHEMAS, self.dimensions], sort_keys=True).encode()).hexdigest()
+    def signature(self, name: str) -> str:
+        """What a table's rows depend on beside the files."""
+        width = self.dimensions if name == "units" else None
+        terms = self.analyser if name in ("postings", "stats") else None
+        return hashlib.sha256(json.dumps([VERSION, SCHEMAS[name], width, terms], sort_keys=True).encode()).hexdigest()
 
     def manifest(self) -> dict | None:
-        """The current generation, unless it was written under another schema, version or width."""
+        """The current generation."""
         try:
-            found = json.loads((self.folder / "CURRENT").read_text())
+            return json.loads((self.folder / "CURRENT").read_text())
         except FileNotFoundError:
             return None
-        return found if found.get("signature") == self.signature else None
+
+    def usable(self, name: str) -> bool:
+        """Whether the current generation has this table, written under the same schema, version, width and terms."""
+        current = self.manifest()
+        return current is not None and current.get("signatures", {}).get(name) == self.signature(name) and (self.folder / f"generation-{current['generation']}" / name).is_dir()
+
+    def unusable(self) -> set[str]:
+        return {name for name in SCHEMAS if not self.usable(name)}
 
     def path(self, generation: int, table: str) -> str:
         return f"file://{self.folder.resolve()}/generation-{generation}/{table}"
 
     def table(self, name: str) -> DataFrame:
         current = self.manifest()
-        if current is None:
+        if not self.usable(name):
             return self.spark.createDataFrame([], SCHEMAS[name])
         return self.spark.read.schema(SCHEMAS[name]).parquet(self.path(current["generation"], name))
 
-    def write(self, tables: dict[str, DataFrame], fingerprint: str | None = None) -> None:
-        """Writes all tables as the next generation and makes it current."""
+    def write(self, tables: dict[str, DataFrame], fingerprint: str | None = None, model: str | None = None) -> None:
+        """Writes all tables as the next generation and makes it current; ``model`` made the vectors."""
         current = self.manifest()
-        try:
-            last = json.loads((self.folder / "CURRENT").read_text())["generation"]
-        except FileNotFoundError:
-            last = 0
-        generation = last + 1
+        generation = (current or {"generation": 0})["generation"] + 1
         shutil.rmtree(self.folder / f"generation-{generation}", ignore_errors=True)
         for name, schema in SCHEMAS.items():
             columns = [c.split()[0] for c in schema.split(", ")]
@@ -72,7 +83,7 @@ class Store:
                 writer = writer.partitionBy(*PARTITIONED[name])
             writer.parquet(self.path(generation, name))
         temp = self.folder / "CURRENT.tmp"
-        temp.write_text(json.dumps({"generation": generation, "signature": self.signature, "fingerprint": fingerprint}))
+        temp.write_text(json.dumps({"generation": generation, "signatures": {name: self.signature(name) for name in SCHEMAS}, "fingerprint": fingerprint, "model": model}))
         os.replace(temp, self.folder / "CURRENT")
         for old in self.folder.glob("generation-*"):  # readers of the previous one may still be at work
             if int(old.name.split("-")[1]) < generation - (1 if current else 0):

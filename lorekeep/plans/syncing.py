@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -10,40 +9,41 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import EmbeddingError
 from ..functions.embedding import BATCH
-from ..functions.text import tokens
+from ..functions.text import PLAIN, Analyser
 from ..operators import lexical, relations, sync
 from ..sources import markdown, paths
 from .contracts import SyncReport
-from .store import SCHEMAS, Store
+from .store import READ, SCHEMAS, Store
 
 
-def ensure_fresh(store: Store, root: Path, rule_file: str, embedder=None, vectors: bool = True, analyse=tokens) -> SyncReport:
+def ensure_fresh(store: Store, root: Path, rule_file: str, embedder=None, vectors: bool = True, analyse: Analyser = PLAIN) -> SyncReport:
     """Reads what changed, drops what went, and writes a new generation if anything did."""
     with store.lock():
         return _sync(store, root, rule_file, embedder if vectors else None, analyse)
 
 
-def rebuild(store: Store, root: Path, rule_file: str, embedder=None, analyse=tokens) -> SyncReport:
+def rebuild(store: Store, root: Path, rule_file: str, embedder=None, analyse: Analyser = PLAIN) -> SyncReport:
     with store.lock():
         store.reset()
         return _sync(store, root, rule_file, embedder, analyse)
 
 
-def maintain(store: Store, analyse=tokens) -> None:
-    """Rewrites the index tables compactly from the units."""
+def maintain(store: Store, analyse: Analyser = PLAIN) -> None:
+    """Rewrites the index tables compactly from the units: a term's rows lie in one range of files."""
     with store.lock():
-        if store.manifest() is None:
-            return
+        if store.unusable() & READ:
+            return  # the next synchronisation reads the files anew
         tables = {name: store.table(name) for name in SCHEMAS}
-        store.write(_indexes(tables, analyse), store.manifest()["fingerprint"])
+        tables |= _indexes(tables["units"], analyse)
+        tables["postings"] = tables["postings"].repartitionByRange("unit_kind", "term").sortWithinPartitions("term")
+        store.write(tables, store.manifest()["fingerprint"], store.manifest().get("model"))
 
 
-def _indexes(tables: dict[str, DataFrame], analyse) -> dict[str, DataFrame]:
-    units = tables["units"]
-    found = lexical.postings(units, analyse).join(units.select("chunk_id", "path"), "chunk_id")
+def _indexes(units: DataFrame, analyse: Analyser) -> dict[str, DataFrame]:
     # Rows of a term lie together, so a query's terms are pushed down to few row groups.
-    return tables | {"postings": found.sortWithinPartitions("term"), "stats": lexical.unit_stats(units, analyse)}
+    return {"postings": lexical.postings(units, analyse).sortWithinPartitions("term"), "stats": lexical.unit_stats(units, analyse)}
 
 
 def embed_units(units: DataFrame, embedder) -> DataFrame:
@@ -55,17 +55,35 @@ def embed_units(units: DataFrame, embedder) -> DataFrame:
                 part = batch.iloc[at : at + BATCH]
                 try:
                     vectors, error = embedder.embed(part["search_text"].tolist()), None
+                    if len(vectors) != len(part):
+                        raise EmbeddingError(f"{len(vectors)} vectors for {len(part)} texts")
                 except Exception as e:  # noqa: BLE001  a model may raise anything; its units stay pending
-                    vectors, error = [None] * len(part), str(e)
+                    vectors, error = [None] * len(part), f"{type(e).__name__}: {e}"[:200]
                 yield pd.DataFrame({"chunk_id": part["chunk_id"], "vector": vectors, "error": error})
 
     return units.select("chunk_id", "search_text").mapInPandas(run, "chunk_id string, vector array<float>, error string")
 
 
-def _sync(store: Store, root: Path, rule_file: str, embedder, analyse) -> SyncReport:
+def missing_vectors(units: DataFrame, embedder, made_by: str | None) -> DataFrame:
+    """path of documents that lack a vector of the present model."""
+    lacking = F.col("vector").isNull()
+    if made_by != embedder.model:  # some vectors may be another model's
+        own = sync.embedding_input_hash(embedder.model, embedder.dimensions, F.col("search_text"))
+        lacking |= ~F.col("embedding_input_hash").eqNullSafe(own)
+    return units.where(lacking).select("path").distinct()
+
+
+def _sync(store: Store, root: Path, rule_file: str, embedder, analyse: Analyser) -> SyncReport:
     spark: SparkSession = store.spark
-    old = {name: store.table(name) for name in SCHEMAS}
-    missing = old["units"].where(F.col("vector").isNull()).select("path").distinct() if embedder else None
+    broken, before = store.unusable(), store.manifest() or {}
+    if broken & READ:  # read from files: all of them are read again
+        old = {name: spark.createDataFrame([], schema) for name, schema in SCHEMAS.items()}
+    else:  # an index that is missing or of other terms follows from the units
+        old = {name: store.table(name) for name in SCHEMAS}
+        if broken:
+            old |= _indexes(old["units"], analyse)
+    model = embedder.model if embedder else before.get("model")
+    missing = missing_vectors(old["units"], embedder, before.get("model")) if embedder else None
     scratch = store.scratch()
 
     def keep(df: DataFrame, name: str) -> DataFrame:
@@ -75,8 +93,10 @@ def _sync(store: Store, root: Path, rule_file: str, embedder, analyse) -> SyncRe
     plan = keep(sync.stat_diff(old["documents"], paths.listing(spark, root, rule_file), missing), "plan")
     counts = {r["action"]: r["count"] for r in plan.groupBy("action").count().collect()}
     report = SyncReport(removed=counts.get("removed", 0), unchanged=counts.get("unchanged", 0))
-    if not counts.get("read") and not report.removed and store.manifest() is not None:
-        report.generation = store.manifest()["fingerprint"]
+    if not counts.get("read") and not report.removed and before and not broken & READ:
+        if broken:
+            store.write(old, before["fingerprint"], model)
+        report.generation = before["fingerprint"]
         return report
     wanted = plan.where("action = 'read'")
     tasks = min(spark.sparkContext.defaultParallelism * 4, max(1, counts.get("read", 0) // 64 + 1))
@@ -100,16 +120,14 @@ def _sync(store: Store, root: Path, rule_file: str, embedder, analyse) -> SyncRe
 
     gone = removed.unionByName(fresh.select("path"))
     units = fresh.select(F.explode("units").alias("u")).select("u.*")
-    model, width = (embedder.model, embedder.dimensions) if embedder else ("", 0)
-    units = units.withColumn("embedding_input_hash", sync.embedding_input_hash(model, width, F.col("search_text")) if embedder else F.lit(None).cast("string"))
+    units = units.withColumn("embedding_input_hash", sync.embedding_input_hash(embedder.model, embedder.dimensions, F.col("search_text")) if embedder else F.lit(None).cast("string"))
     stored = old["units"].select("embedding_input_hash", "vector")
     units = keep(sync.reuse_vectors(units, stored).select(*old["units"].columns), "units")
     if embedder:
         made = keep(embed_units(units.where(F.col("vector").isNull()), embedder), "vectors")
-        sums = units.agg(F.count("vector").alias("reused")).crossJoin(made.agg(F.count("vector").alias("made"), F.count_if(F.col("vector").isNull()).alias("pending"), F.min("error").alias("error"))).first()
+        sums = units.agg(F.count("vector").alias("reused")).crossJoin(made.agg(F.count("vector").alias("made"), F.count_if(F.col("vector").isNull()).alias("pending"), F.slice(F.array_sort(F.collect_set("error")), 1, 5).alias("errors"))).first()
         report.vectors_reused, report.vectors_ready, report.vectors_pending = sums["reused"], sums["reused"] + sums["made"], sums["pending"]
-        if sums["error"]:
-            report.degraded.append(f"embedding: {sums['error']}")
+        report.degraded += [f"embedding: {e}" for e in sums["errors"]]
         units = units.withColumnRenamed("vector", "_reused").join(made.select("chunk_id", "vector"), "chunk_id", "left").withColumn("vector", F.coalesce("_reused", "vector")).select(*old["units"].columns)
     all_units = sync.replace_rows(old["units"], units, gone)
     tables["units"] = keep(sync.restamp(all_units, stamps, "modified_at_ns"), "all_units")
@@ -118,12 +136,9 @@ def _sync(store: Store, root: Path, rule_file: str, embedder, analyse) -> SyncRe
     edges = sync.replace_rows(old["edges"].withColumnRenamed("from_path", "path"), edges.withColumnRenamed("from_path", "path"), gone).withColumnRenamed("path", "from_path")
     tables["edges"] = relations.with_status(edges, tables["documents"])
 
-    new = lexical.postings(units, analyse).join(units.select("chunk_id", "path"), "chunk_id")
+    new = lexical.postings(units, analyse)
     tables["postings"] = sync.replace_rows(old["postings"], new.select(*old["postings"].columns), gone).sortWithinPartitions("term")
     tables["stats"] = lexical.unit_stats(tables["units"], analyse)
-
-    # A hash of hashes: order does not matter, and nothing of each document comes to the driver.
-    marks = tables["documents"].agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("path", "content_hash", "mtime_ns")).alias("x"), F.sum(F.xxhash64("content_hash", "path").cast("decimal(38,0)")).alias("s")).first()
-    report.generation = hashlib.sha256(repr(tuple(marks)).encode()).hexdigest()
-    store.write(tables, report.generation)
+    report.generation = sync.generation(tables["documents"]).first()["generation"]
+    store.write(tables, report.generation, model)
     return report

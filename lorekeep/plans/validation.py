@@ -31,42 +31,50 @@ def load_rules(root: str, rule_file: str) -> tuple[rule_functions.Rules | None,
         return None, Issue(rule_file, "rules.parse", str(e), "error")
 
 
-def inspect(root: str, path: str, rules: rule_functions.Rules | None) -> dict:
-    """One row of FACTS."""
-    row: dict = {"path": path, "issues": [], "targets": [], "tags": [], "raw_tags": []}
-
-    def add(kind: str, message: str, severity: str) -> None:
-        row["issues"].append({"kind": kind, "message": message, "severity": severity})
-
+def text_of(root: str, path: str) -> tuple[str | None, tuple[str, str, str] | None]:
+    """A document's text, or why there is none."""
     try:
         paths.scope_path(root, path)
-    except PathOutsideRoot as e:
-        add("path.unsafe", str(e), "error")
-        return row
-    try:
         with open(os.path.join(root, path), encoding="utf-8", newline="") as f:
-            raw = f.read()
-    except (OSError, UnicodeDecodeError):
-        add("io.read", "cannot read file", "error")
-        return row
-    header, body = frontmatter.parse(raw)
+            return f.read(), None
+    except PathOutsideRoot as e:
+        return None, ("path.unsafe", str(e), "error")
+    except (OSError, UnicodeDecodeError) as e:
+        return None, ("io.read", f"no text to read: {type(e).__name__}", "error")
+
+
+def remarks(path: str, raw: str, header: dict, body: str) -> Iterator[tuple[str, str, str]]:
+    """What is to be said of a text whatever the rules."""
     if frontmatter.unterminated(raw, body):
-        add("markdown.parse", "malformed YAML frontmatter (unterminated header)", "error")
-    tags = header.get("tags")
-    row["raw_tags"] = [t for t in tags if isinstance(t, str)] if isinstance(tags, list) else []
-    if rules is not None:
-        for issue in rule_functions.check(path, header, rules):
-            add(*issue)
-        row["tags"] = [t for t in row["raw_tags"] if rule_functions.valid_tag(t)]
-    row["targets"] = [e[0] for e in links.edges(path, header, body)[0]]
-    if not body.rstrip() and not any(u["content"] for u in chunk.units(path, header, body, 0)):
-        add("content.empty", "document has no body content", "error")
+        yield "markdown.parse", "the header has no end", "error"
+    elif changes_in_format(raw):
+        yield "markdown.formatting", "formatting would change the text", "warning"
+    if body.strip() == "" and not any(u["content"] for u in chunk.units(path, header, body, 0)):
+        yield "content.empty", "nothing stands below the header", "error"
+
+
+def changes_in_format(raw: str) -> bool:
     try:
-        if format_markdown(raw) is not None:
-            add("markdown.formatting", "document differs from its formatted text", "warning")
+        return format_markdown(raw) is not None
     except Unformattable:
-        pass
-    return row
+        return False
+
+
+def inspect(root: str, path: str, rules: rule_functions.Rules | None) -> dict:
+    """One row of FACTS."""
+    raw, why = text_of(root, path)
+    if raw is None:
+        return _facts(path, [why], [], [], [])
+    header, body = frontmatter.parse(raw)
+    found = [*remarks(path, raw, header, body), *(rule_functions.check(path, header, rules) if rules is not None else [])]
+    listed = header.get("tags")
+    tags = [t for t in listed if isinstance(t, str)] if isinstance(listed, list) else []
+    governed = [] if rules is None else list(filter(rule_functions.valid_tag, tags))
+    return _facts(path, found, [to for to, _, _ in links.edges(path, header, body)[0]], governed, tags)
+
+
+def _facts(path: str, found: list[tuple[str, str, str]], targets: list[str], tags: list[str], raw_tags: list[str]) -> dict:
+    return {"path": path, "issues": [dict(zip(("kind", "message", "severity"), f)) for f in found], "targets": targets, "tags": tags, "raw_tags": raw_tags}
 
 
 def facts(listed: DataFrame, root: str, rules: rule_functions.Rules | None) -> DataFrame:
@@ -87,14 +95,14 @@ def issues(spark: SparkSession, root: str, rule_file: str, path: str | None = No
     parts = [found.select("path", F.explode("issues").alias("i")).select("path", "i.*")]
     edges = found.select(F.col("path").alias("from_path"), F.explode("targets").alias("to_path"))
     lost = governance.broken_links(edges, every)
-    parts.append(lost.select("path", "kind", F.concat(F.lit("internal link target not present: "), "target").alias("message"), F.lit("warning").alias("severity")))
+    parts.append(lost.select("path", "kind", F.concat(F.lit("no such document: "), "target").alias("message"), F.lit("warning").alias("severity")))
     if rules is not None:
         tags = found.select("path", F.explode("tags").alias("tag"))
         variants = governance.non_canonical(tags, rules.tag_aliases)
-        parts.append(variants.select("path", F.lit("tags.non_canonical").alias("kind"), F.format_string("tag `%s` is not canonical; use `%s`", "tag", "canonical").alias("message"), F.lit("warning").alias("severity")))
+        parts.append(variants.select("path", F.lit("tags.non_canonical").alias("kind"), F.format_string("%s: the rules spell this tag %s", "tag", "canonical").alias("message"), F.lit("warning").alias("severity")))
         if path is None:
             new = governance.new_tags(tags, governance.raw_tag_counts(found), rules.tag_aliases)
-            parts.append(new.select("path", F.lit("tags.new").alias("kind"), F.format_string("tag `%s` is new; consider adding it to `tag_aliases`", "tag").alias("message"), F.lit("warning").alias("severity")))
+            parts.append(new.select("path", F.lit("tags.new").alias("kind"), F.format_string("%s: first use of this tag, and no rule names it", "tag").alias("message"), F.lit("warning").alias("severity")))
     if broken is not None:
         parts.append(spark.createDataFrame([(broken.path, broken.kind, broken.message, broken.severity)], "path string, kind string, message string, severity string"))
     return governance.union_all([p.select(*columns) for p in parts]), found
@@ -104,7 +112,7 @@ def format_file(root: str, path: str, rule_file: str) -> bool:
     """Formats one document in place, unless it changes meanwhile; whether it was written."""
     paths.scope_path(root, path)
     if path == rule_file or not path.endswith(".md"):
-        raise ConfigError("expected an ordinary Markdown document")
+        raise ConfigError("only documents of the wiki can be named here")
     full = os.path.join(root, path)
     try:
         before = os.stat(full)
@@ -146,7 +154,7 @@ def validate(spark: SparkSession, root: str, rule_file: str, path: str | None =
     if path is not None:
         paths.scope_path(root, path)
         if path == rule_file or not path.endswith(".md"):
-            raise ConfigError("expected an ordinary Markdown document")
+            raise ConfigError("only documents of the wiki can be named here")
     formatted, failures = [], []
     if fix_format:
         for p in [path] if path is not None else paths.snapshot(root, rule_file):
@@ -154,7 +162,7 @@ def validate(spark: SparkSession, root: str, rule_file: str, path: str | None =
                 if format_file(root, p, rule_file):
                     formatted.append(p)
             except FormatConflict:
-                failures.append(Issue(p, "format.conflict", "formatting conflict; file changed externally", "error"))
+                failures.append(Issue(p, "format.conflict", "written by someone else while it was being formatted", "error"))
             except EngineError as e:
                 failures.append(Issue(p, "format.failed", str(e), "error"))
     reported, kept = issues(spark, root, rule_file, path)

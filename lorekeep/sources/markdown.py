@@ -50,7 +50,7 @@ def read_document(root: str, path: str, previous_hash: str | None = None) -> Doc
     if len(data) > MOST_BYTES:
         raise ParseError(f"{path}: document is larger than {MOST_BYTES} bytes")
     if (before.st_mtime_ns, before.st_size) != (after.st_mtime_ns, after.st_size) or len(data) != after.st_size:
-        raise ParseError(f"{path}: document changed while being read; retry required")
+        raise ParseError(f"{path}: written to while it was read; left for the next synchronisation")
     digest = hashlib.sha256(data).hexdigest()
     if previous_hash is not None and digest == previous_hash:
         return digest, after.st_mtime_ns, after.st_size
@@ -60,7 +60,7 @@ def read_document(root: str, path: str, previous_hash: str | None = None) -> Doc
         raise ParseError(f"{path}: not UTF-8: {e}") from e
     header, body = frontmatter.parse(raw)
     if frontmatter.malformed(raw, body):
-        raise ParseError(f"{path}: malformed YAML frontmatter")
+        raise ParseError(f"{path}: the header is not readable as YAML")
     return Document(path, digest, after.st_mtime_ns, after.st_size, header, body, raw)
 
 

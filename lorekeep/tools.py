@@ -50,7 +50,7 @@ def get_wiki_context(engine: Engine, query: str = "", scope: str = "", limit: in
 
 def validate_wiki(engine: Engine, path: str | None = None, full: bool = False, fix_format: bool = False) -> str:
     if (path is None) != full:
-        raise InvalidParams("specify exactly one of path or full")
+        raise InvalidParams("either a path or full is needed, not both")
     result = engine.validate(path, fix_format).as_dict()
     for issue in result["issues"]:
         issue["path"] = str(engine.root / issue["path"])

@@ -139,3 +139,34 @@ def test_configuration(tmp_path):
             config.load(tmp_path)
     own = first.projection_for(tmp_path / "wiki-a")
     assert own == first.projection_for(tmp_path / "wiki-a" / ".") != first.projection_for(tmp_path / "wiki-b")
+
+
+def test_parts_are_trimmed():
+    assert chunk.fit_parts([" a ", "  ", "summary\n", "x" * 300]) == "a\nsummary\n" + "x" * 240
+    assert chunk.fit_outline(["", "one", "two", "three"], 9) == "one / two" and chunk.fit_outline(["long heading"], 5) == "" and chunk.fit_outline(["a", "", "b"], 20) == "a /  / b"
+
+
+def test_code_keeps_its_spaces():
+    for raw in ("x\n\n    code   \n    more  \n\ny\n", "- a\n\n      code   \n", "- ```\n  q   \n  ```\n"):
+        assert formatting.format_markdown(raw) is None, raw
+    assert formatting.format_markdown("x   \n\n    code   \n") == "x\n\n    code   \n"
+
+
+def test_formatting_is_linear():
+    import time
+
+    raw = "```\na  \n```\n\n" * 4000
+    began = time.process_time()
+    formatting.format_markdown(raw)
+    assert time.process_time() - began < 5
+
+
+def test_rule_checks_by_kind():
+    own = rules.parse({"required_fields": ["status"], "sections": [{"path": "d", "types": ["log"], "filename_pattern": "[0-9]*.md"}]})
+    kinds = lambda header, path="d/x.md": sorted(k for k, _, _ in rules.check(path, header, own))
+    good = {"type": "log", "tags": ["a"], "summary": "s", "status": "done"}
+    assert kinds(good, "d/1.md") == [] and kinds(good) == ["path.filename"]
+    assert kinds(good | {"type": "note"}, "d/1.md") == ["type.not_allowed"]
+    assert kinds({"type": "", "tags": [], "summary": "x" * 401}, "e/x.md") == ["frontmatter.required", "summary.long", "tags.invalid", "type.invalid"]
+    assert kinds({"summary": 3, "tags": ["\x01"], "status": 1}, "e/x.md") == ["frontmatter.required", "summary.invalid", "tags.invalid"]
+    assert kinds({"type": ["log"], "tags": ["a"], "summary": "s", "status": 1}, "d/1.md") == ["type.invalid", "type.not_allowed"]
