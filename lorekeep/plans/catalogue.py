@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.chunk import chunk_udtf_rows
+from ..functions.links import link_rows
 from ..operators import filters, governance, lexical, ranking, relations, sync
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +21,7 @@ QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
 TERMS = ["the", "heed", "thtion"]
+EVERY = X.Analyser(longest=1 << 30)  # words of any length, as the SQL counts them
 WORDS = "regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+')"
 
 UNITS_SQL = f"""u AS (
@@ -72,9 +74,19 @@ def units(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Lexical retrieval and filters
 
 
+def scored(docs: DataFrame, terms: list[str]) -> DataFrame:
+    """chunk_id, score by the engine's ranking: postings of the terms, statistics of all units, BM25."""
+    return lexical.bm25(lexical.postings(docs, EVERY, terms), lexical.unit_stats(docs, EVERY), terms).select("chunk_id", "score")
+
+
+def matched(docs: DataFrame, terms: list[str], keep=None) -> DataFrame:
+    own = docs.drop("search_text")
+    return (own if keep is None else own.where(keep)).join(scored(docs, terms), "chunk_id")
+
+
 @query("q01_bm25_topk", f"WITH {bm25_sql(TERMS)} SELECT doc_id, path, score FROM s ORDER BY score DESC, path LIMIT 20")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.top(lexical.scan_bm25(units(spark, sf_dir), TERMS), 20, "path").select("doc_id", "path", "score")
+    return lexical.top(matched(units(spark, sf_dir), TERMS), 20, "path").select("doc_id", "path", "score")
 
 
 _FILTER = "starts_with(path, 'src1/') AND list_contains(tags, 'en') AND note_type IN ('en', 'de') AND modified_at_ns BETWEEN 5000000000 AND 900000000000"
@@ -83,17 +95,24 @@ _FILTER = "starts_with(path, 'src1/') AND list_contains(tags, 'en') AND note_typ
 @query("q02_bm25_filtered", f"WITH {bm25_sql(TERMS, _FILTER)} SELECT doc_id, path, score FROM s ORDER BY score DESC, path LIMIT 20")
 def bm25_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     keep = filters.structural("src1", ["en"], ["en", "de"], after=5 * 10**9, before=900 * 10**9)
-    return lexical.top(lexical.scan_bm25(units(spark, sf_dir), TERMS, keep), 20, "path").select("doc_id", "path", "score")
+    return lexical.top(matched(units(spark, sf_dir), TERMS, keep), 20, "path").select("doc_id", "path", "score")
 
 
 @query("q03_keywords_all", f"WITH {UNITS_SQL} SELECT doc_id, path FROM u WHERE list_has_all(words, ['the', 'heed'])")
 def keywords_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return units(spark, sf_dir).where(filters.has_keywords(F.col("search_text"), ["The", "heed"], every=True)).select("doc_id", "path")
+    return meeting(units(spark, sf_dir), ["The", "heed"], every=True).select("doc_id", "path")
+
+
+def meeting(docs: DataFrame, keywords: list[str], every: bool) -> DataFrame:
+    """The units that meet the keywords, by the engine's postings."""
+    terms = [t for own in filters.keyword_terms(keywords, EVERY.words) for t in own]
+    met = filters.matching_units(lexical.postings(docs, EVERY, terms), keywords, every, EVERY)
+    return docs.drop("search_text").join(met.select("chunk_id"), "chunk_id", "left_semi")
 
 
 @query("q04_keywords_any", f"WITH {UNITS_SQL} SELECT doc_id, path FROM u WHERE list_contains(words, 'heed') OR (list_contains(words, 'of') AND list_contains(words, 'ing'))")
 def keywords_any(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return units(spark, sf_dir).where(filters.has_keywords(F.col("search_text"), ["heed", "of ing"], every=False)).select("doc_id", "path")
+    return meeting(units(spark, sf_dir), ["heed", "of ing"], every=False).select("doc_id", "path")
 
 
 @query("q05_scope_literal", f"WITH {UNITS_SQL} SELECT doc_id, path FROM u WHERE path = 'src1/en' OR starts_with(path, 'src1/en/')")
@@ -109,7 +128,7 @@ def recent_browse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("q07_modified_desc", f"WITH {bm25_sql(TERMS)} SELECT doc_id, path, modified_at_ns, score FROM s ORDER BY modified_at_ns DESC, score DESC, path LIMIT 20")
 def modified_desc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lexical.scan_bm25(units(spark, sf_dir), TERMS).withColumn("score", F.round("score", 6))
+    found = matched(units(spark, sf_dir), TERMS).withColumn("score", F.round("score", 6))
     return found.orderBy(F.desc("modified_at_ns"), F.desc("score"), "path").limit(20).select("doc_id", "path", "modified_at_ns", "score")
 
 
@@ -122,7 +141,7 @@ ORDER BY is_exact DESC, score DESC, path LIMIT 10""",
 )
 def exact_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = units(spark, sf_dir)
-    fused = lexical.top(lexical.scan_bm25(docs, TERMS), 20, "path").select("path", "score", F.array(F.lit("keyword")).alias("sources"))
+    fused = lexical.top(matched(docs, TERMS), 20, "path").select("path", "score", F.array(F.lit("keyword")).alias("sources"))
     keys = docs.withColumn("lookup_keys", F.array(F.lower("path"), F.lower(F.element_at(F.split("path", "/"), -1)), F.lower(X.stem(F.col("path")))))
     exact = keys.where(F.array_contains("lookup_keys", " DOC-41 ".strip().lower()))
     found = ranking.exact_first(fused, exact, "path")
@@ -150,7 +169,7 @@ _HYBRID = f"""WITH {bm25_sql(TERMS)}, k AS (
 
 
 def hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lexical.top(lexical.scan_bm25(units(spark, sf_dir), TERMS), 50, "doc_id")
+    found = lexical.top(matched(units(spark, sf_dir), TERMS), 50, "doc_id")
     near = ranking.nearest(read(spark, sf_dir, "embeddings"), "embedding", VECTOR, 50, "vec_id").withColumnRenamed("vec_id", "doc_id")
     legs = {"keyword": ranking.ranked(found, "doc_id", F.desc("score"), "doc_id"), "semantic": ranking.ranked(near, "doc_id", "distance", "doc_id")}
     return ranking.fuse(legs, "doc_id").withColumn("score", F.round("score", 8))
@@ -223,16 +242,28 @@ def metadata_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Synchronisation
 
-_SNAPSHOTS = """p AS (SELECT doc_id AS path, sha256(text) AS hash, doc_id AS mtime FROM documents WHERE doc_id % 7 != 0),
-c AS (SELECT doc_id AS path, CASE WHEN doc_id % 5 = 0 THEN sha256(text || '!') ELSE sha256(text) END AS hash, CASE WHEN doc_id % 3 = 0 THEN doc_id + 1 ELSE doc_id END AS mtime FROM documents WHERE doc_id % 11 != 0)"""
+# The earlier snapshot holds the documents that have a label; now toxic ones are gone,
+# those of low quality have changed, and the other labelled ones were touched or not by their source.
+_SNAPSHOTS = """l AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id),
+d AS (SELECT d.doc_id AS path, coalesce(text, '') AS text, source, quality, toxic FROM documents d LEFT JOIN l USING (doc_id)),
+p AS (SELECT path, sha256(text) AS hash, path AS mtime FROM d WHERE quality IS NOT NULL),
+c AS (SELECT path, CASE WHEN quality = 0 THEN sha256(text || '!') ELSE sha256(text) END AS hash, CASE WHEN quality = 0 OR source = 'src1' THEN path + 1 ELSE path END AS mtime FROM d WHERE coalesce(toxic, 0) = 0)"""
+
+
+def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = read(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "source")
+    return docs.join(own, "doc_id", "left").withColumnRenamed("doc_id", "path")
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    docs = read(spark, sf_dir, "documents")
-    before = docs.where("doc_id % 7 != 0").select(F.col("doc_id").alias("path"), F.sha2("text", 256).alias("content_hash"), F.col("doc_id").alias("mtime_ns"), F.lit(1).cast("long").alias("size"))
-    text = F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
-    stamp = F.when(F.col("doc_id") % 3 == 0, F.col("doc_id") + 1).otherwise(F.col("doc_id"))
-    now = docs.where("doc_id % 11 != 0").select(F.col("doc_id").alias("path"), F.sha2(text, 256).alias("content_hash"), stamp.alias("mtime_ns"), F.lit(1).cast("long").alias("size"))
+    """Two snapshots: path, content_hash, mtime_ns, size."""
+    docs = labelled(spark, sf_dir)
+    before = docs.where(F.col("quality").isNotNull()).select("path", F.sha2("text", 256).alias("content_hash"), F.col("path").alias("mtime_ns"), F.lit(1).cast("long").alias("size"))
+    poor = F.coalesce(F.col("quality") == 0, F.lit(False))
+    text = F.when(poor, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    stamp = F.when(poor | (F.col("source") == "src1"), F.col("path") + 1).otherwise(F.col("path"))
+    now = docs.where(F.coalesce("toxic", F.lit(0)) == 0).select("path", F.sha2(text, 256).alias("content_hash"), stamp.alias("mtime_ns"), F.lit(1).cast("long").alias("size"))
     return before, now
 
 
@@ -243,40 +274,54 @@ def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 ) GROUP BY action""",
 )
 def sync_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sync.diff(*snapshots(spark, sf_dir)).groupBy("action").agg(F.count("*").alias("documents"))
+    """As the engine goes: stamps first, then the content of what they say is to be read."""
+    before, now = snapshots(spark, sf_dir)
+    plan = sync.stat_diff(before, now.select("path", "mtime_ns", "size"))
+    content = now.select("path", F.col("content_hash").alias("now_hash"))
+    read_ = plan.join(content, "path", "left")
+    action = F.when(F.col("action") != "read", F.col("action")).when(F.col("previous_hash").isNull(), "added").when(F.col("previous_hash") == F.col("now_hash"), "touched").otherwise("changed")
+    return read_.groupBy(action.alias("action")).agg(F.count("*").alias("documents"))
 
 
 @query(
     "q13_move_detection",
-    """WITH r AS (SELECT doc_id AS old_path, sha256(text) AS hash FROM documents WHERE doc_id % 2 = 0), a AS (SELECT doc_id AS new_path, sha256(text) AS hash FROM documents WHERE doc_id % 2 = 1),
+    f"""WITH {_SNAPSHOTS}, r AS (SELECT path AS old_path, hash FROM p WHERE path NOT IN (SELECT path FROM c)), a AS (SELECT path AS new_path, hash FROM c WHERE path NOT IN (SELECT path FROM p)),
 one AS (SELECT hash, min(old_path) AS old_path FROM r GROUP BY hash HAVING count(*) = 1) SELECT new_path, old_path FROM a JOIN one USING (hash)""",
 )
 def move_detection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("content_hash"))
-    removed = docs.where("doc_id % 2 = 0").select(F.col("doc_id").alias("path"), "content_hash")
-    added = docs.where("doc_id % 2 = 1").select(F.col("doc_id").alias("path"), "content_hash")
+    before, now = snapshots(spark, sf_dir)
+    added, removed = now.join(before, "path", "left_anti"), before.join(now, "path", "left_anti")
     return sync.moves(added, removed).select(F.col("path").alias("new_path"), "old_path")
 
 
 @query(
     "q30_snapshot_fixpoint",
-    f"""WITH {_SNAPSHOTS} SELECT count(*) AS documents, count(*) FILTER (a.hash = b.hash AND a.mtime = b.mtime) AS unchanged FROM c a JOIN c b USING (path)""",
+    f"""WITH {_SNAPSHOTS} SELECT (SELECT count(*) FROM c) AS documents, (SELECT count(*) FROM c) AS unchanged, 1 AS generations""",
 )
 def snapshot_fixpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    now = snapshots(spark, sf_dir)[1]
-    again = sync.diff(now, now)
-    return again.agg(F.count("*").alias("documents"), F.count_if(F.col("action") == "unchanged").alias("unchanged"))
+    """The earlier rows, with what a synchronisation replaces in them, are the present snapshot: nothing is left to read, and the generation is its."""
+    before, now = snapshots(spark, sf_dir)
+    plan = sync.stat_diff(before, now.select("path", "mtime_ns", "size"))
+    seen = now.join(plan.where("action = 'read'").select("path", "previous_hash"), "path")
+    fresh = seen.where(~F.col("content_hash").eqNullSafe(F.col("previous_hash"))).drop("previous_hash")
+    touched = seen.where(F.col("content_hash") == F.col("previous_hash")).select("path", "mtime_ns")
+    rows = sync.replace_rows(before, fresh, plan.where("action = 'removed'").select("path"))
+    after = sync.restamp(rows, touched, "mtime_ns")
+    again = sync.stat_diff(after, now.select("path", "mtime_ns", "size")).agg(F.count("*").alias("documents"), F.count_if(F.col("action") == "unchanged").alias("unchanged"))
+    generations = sync.generation(after).union(sync.generation(now)).agg(F.count_distinct("generation").cast("int").alias("generations"))
+    return again.crossJoin(F.broadcast(generations))  # one row each
 
 
 @query(
     "q34_vector_reuse",
-    """WITH h AS (SELECT doc_id, sha256('model' || chr(0) || '64' || chr(0) || text) AS hash FROM documents), old AS (SELECT hash, min(doc_id) AS vec_id FROM h WHERE doc_id % 2 = 0 GROUP BY hash)
-SELECT CASE WHEN old.hash IS NULL THEN 'pending' ELSE 'reused' END AS state, count(*) AS units FROM h LEFT JOIN old USING (hash) WHERE h.doc_id % 3 = 0 GROUP BY 1""",
+    """WITH h AS (SELECT doc_id, sha256('model' || chr(0) || '64' || chr(0) || coalesce(text, '')) AS hash FROM documents), old AS (SELECT DISTINCT hash FROM h JOIN labels USING (doc_id))
+SELECT CASE WHEN old.hash IS NULL THEN 'pending' ELSE 'reused' END AS state, count(*) AS units FROM h LEFT JOIN old USING (hash) GROUP BY 1""",
 )
 def vector_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = read(spark, sf_dir, "documents").select("doc_id", sync.embedding_input_hash("model", 64, F.col("text")).alias("embedding_input_hash"))
-    stored = own.where("doc_id % 2 = 0").select("embedding_input_hash", F.array(F.col("doc_id").cast("float")).alias("vector"))
-    return sync.reuse_vectors(own.where("doc_id % 3 = 0"), stored).groupBy(F.when(F.col("vector").isNull(), "pending").otherwise("reused").alias("state")).agg(F.count("*").alias("units"))
+    """All documents against the vectors that labelled ones have."""
+    own = read(spark, sf_dir, "documents").select("doc_id", sync.embedding_input_hash("model", 64, F.coalesce("text", F.lit(""))).alias("embedding_input_hash"))
+    stored = own.join(read(spark, sf_dir, "labels").select("doc_id"), "doc_id").select("embedding_input_hash", F.array(F.col("doc_id").cast("float")).alias("vector"))
+    return sync.reuse_vectors(own, stored).groupBy(F.when(F.col("vector").isNull(), "pending").otherwise("reused").alias("state")).agg(F.count("*").alias("units"))
 
 
 # Links
@@ -287,11 +332,11 @@ k AS (SELECT DISTINCT regexp_extract(lower(text), '[\\p{L}\\p{N}]+') || '.md' AS
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hrefs = F.regexp_extract_all("html", F.lit('href="(/[^"]*)"'), F.lit(1))
-    found = read(spark, sf_dir, "pages").select("page_id", F.explode(F.array_distinct(hrefs)).alias("href"))
-    target = F.ltrim("href", F.lit("/"))
-    found = found.where(F.length(target) > 0).select(F.concat(F.lit("page-"), F.col("page_id").cast("string"), F.lit(".md")).alias("from_path"), F.concat(target, F.lit(".md")).alias("to_path"))
-    return relations.distinct_edges(found.select("from_path", "to_path", F.lit("[[link]]").alias("relation_type"), F.lit("").alias("section_source")))
+    """Each page as a document of wiki links to what it refers to; the links by the engine's scanner."""
+    hrefs = F.array_distinct(F.regexp_extract_all("html", F.lit('href="(/[^"]*)"'), F.lit(1)))
+    body = F.concat_ws("\n\n", F.transform(hrefs, lambda h: F.concat(F.lit("see [["), h, F.lit("]]"))))
+    pages = read(spark, sf_dir, "pages").select(F.concat(F.lit("page-"), F.col("page_id").cast("string"), F.lit(".md")).alias("path"), body.alias("raw"))
+    return relations.distinct_edges(link_rows(pages))
 
 
 def known_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -435,14 +480,30 @@ def section_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {bm25_sql(TERMS)}, f AS (SELECT doc_id, path, score FROM s ORDER BY score DESC, path LIMIT 20) SELECT f.path, f.score, coalesce(l.quality, -1) AS quality, coalesce(l.toxic, -1) AS toxic FROM f LEFT JOIN labels l USING (doc_id)""",
 )
 def hydrate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = lexical.top(lexical.scan_bm25(units(spark, sf_dir), TERMS), 20, "path").select("doc_id", "path", "score")
+    hits = lexical.top(matched(units(spark, sf_dir), TERMS), 20, "path").select("doc_id", "path", "score")
     return relations.hydrate(hits, read(spark, sf_dir, "labels"), "doc_id").select("path", "score", F.coalesce("quality", F.lit(-1)).alias("quality"), F.coalesce("toxic", F.lit(-1)).alias("toxic"))
 
 
 @query("q29_markdown_chunks", None)
 def markdown_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each turn as a Markdown document with a heading, cut into units."""
+    """Each turn as a Markdown document with a heading, cut into units; q37 has SQL for what SQL can cut."""
     turns = read(spark, sf_dir, "conversations")
     path = F.concat(F.lit("conv-"), F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string"), F.lit(".md"))
     raw = F.concat(F.lit("---\ntype: turn\ntags: ["), "role", F.lit("]\n---\n\n# "), "role", F.lit("\n\n"), F.coalesce("text", F.lit("")))
     return chunk_udtf_rows(turns.select(path.alias("path"), raw.alias("raw"))).select("path", "unit_kind", "ordinal", "section", "chunk_id", F.length("search_text").alias("length"))
+
+
+@query(
+    "q37_unit_heads",
+    """WITH t AS (SELECT 'conv-' || conv_id || '/' || turn || '.md' AS path, role FROM conversations)
+SELECT path, unit_kind, section, unit_kind = 'document' AS is_first, lookup FROM (
+  SELECT path, 'document' AS unit_kind, '' AS section, regexp_extract(path, '([^/]+)[.]md$', 1) AS lookup FROM t
+  UNION ALL SELECT path, 'fragment', role, regexp_extract(path, '([^/]+)[.]md$', 1) FROM t)""",
+)
+def unit_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the first units of every turn: kind, breadcrumb, order and lookup key."""
+    turns = read(spark, sf_dir, "conversations")
+    path = F.concat(F.lit("conv-"), F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string"), F.lit(".md"))
+    raw = F.concat(F.lit("---\ntype: turn\n---\n\n# "), "role", F.lit("\n\nsaid: "), F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "))
+    found = chunk_udtf_rows(turns.select(path.alias("path"), raw.alias("raw"))).where("ordinal <= 1")
+    return found.select("path", "unit_kind", "section", (F.col("ordinal") == 0).alias("is_first"), F.element_at("lookup_keys", 3).alias("lookup"))

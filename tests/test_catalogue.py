@@ -2,7 +2,9 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from lorekeep.operators import filters, lexical
 from lorekeep.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -33,10 +35,22 @@ def test_chunks_keep_the_limit(spark):
     assert set(found.unit_kind) == {"document", "fragment"}
 
 
-def test_filters_reach_the_scan(spark):
-    plan = catalogue.bm25_filtered(spark, SF)._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastNestedLoopJoin" in plan or "CartesianProduct" not in plan
-    assert "TakeOrderedAndProject" in plan
+def test_filters_reach_the_scan(spark, tmp_path):
+    """The engine's filters on units and postings, and the terms of a query, are pushed into the files."""
+    spark.conf.set("spark.sql.maxMetadataStringLength", 4000)
+    docs = catalogue.units(spark, SF).withColumn("facets", F.array(F.lit("k=1"))).withColumn("content", F.col("search_text"))
+    docs.write.partitionBy("unit_kind").parquet(f"{tmp_path}/units")
+    lexical.postings(docs).write.partitionBy("unit_kind").parquet(f"{tmp_path}/postings")
+    own = spark.read.parquet(f"{tmp_path}/units").where((F.col("unit_kind") == "document") & filters.structural("src1", ["en"], ["en", "de"], after=5, before=900))
+    plan = own.select("path")._jdf.queryExecution().executedPlan().toString()
+    pushed = plan[plan.index("PushedFilters") :].split("\n")[0]
+    assert "In(note_type" in pushed and "GreaterThanOrEqual(modified_at_ns,5)" in pushed and "LessThanOrEqual(modified_at_ns,900)" in pushed and "StringStartsWith(path,src1/)" in pushed
+    assert "search_text" not in plan and "PartitionFilters: [isnotnull(unit_kind" in plan
+    index = spark.read.parquet(f"{tmp_path}/postings")
+    scored = lexical.bm25(index.where("unit_kind = 'document'"), lexical.unit_stats(docs), ["heed", "the"])
+    assert "In(term, [heed,the])" in scored._jdf.queryExecution().executedPlan().toString()
+    best = catalogue.bm25_filtered(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in best and "CartesianProduct" not in best
 
 
 def test_entry_imports_without_the_operators(tmp_path):
