@@ -14,9 +14,14 @@ relaxing yields the encoding that merging by score gives.
 Whether a merge crosses a seam follows from the merge trees alone: the nodes
 along the left piece's right edge and the right piece's left edge meet while
 both exist, and if they form a piece that merges before either is used up, the
-seam does not hold.  Words in which scores tie (runs of spaces) are merged with
-a queue instead.  A word is known by a 64-bit hash with its length; the ids of
-``REMEMBER`` words at most are kept, so only new ones are indexed and relaxed.
+seam does not hold.  Words in which scores tie (runs of spaces) and words that
+hold a piece younger than its parts are merged with a queue instead; ``matched``
+says for each text how many ids came from the suffix array.  Every batch is
+indexed anew: different words are found by a 64-bit hash, and all their
+characters are compared with those of the word that stands for them.
+
+Models that are no BPE, or that normalise or pad texts otherwise than this
+does, are refused.
 
 Edge cases: null and empty texts have no ids.  Characters without a piece become
 their bytes' pieces.  The space sign U+2581 in a text decodes as a space, as in
@@ -37,20 +42,72 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_bytes, held, leanly, table
-from .word_tokens import SpanTable, span_hashes
+from .common import by_bytes, held, id_text, leanly, pick, table
+from .word_tokens import span_hashes
 
-REMEMBER = 1_000_000
+REMEMBER = 1_000_000  # seams whose answer is kept
+BATCH = 4 << 20  # bytes of text indexed together
 SPACE = "▁"
 LAST = np.int64(1) << 40  # a rank beyond all
 
 
+def fields(message: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(number, value) of the fields of a protocol buffer message."""
+
+    def varint(at: int) -> tuple[int, int]:
+        value = shift = 0
+        while True:
+            value |= (message[at] & 0x7F) << shift
+            shift += 7
+            at += 1
+            if message[at - 1] < 0x80:
+                return value, at
+
+    at = 0
+    while at < len(message):
+        key, at = varint(at)
+        size = {1: 8, 5: 4}.get(key & 7)
+        if key & 7 == 0:
+            value, at = varint(at)
+            yield key >> 3, value
+            continue
+        if key & 7 == 2:
+            size, at = varint(at)
+        if size is None:
+            raise ValueError("not a model file")
+        yield key >> 3, message[at : at + size]
+        at += size
+
+
+# Fields of a model file.
+TRAINER, NORMALIZER, KIND, BYTE_FALLBACK, CHARSMAP, DUMMY_PREFIX, REMOVE_SPACES, ESCAPE_SPACES = 2, 3, 3, 35, 2, 3, 4, 5
+BPE = 2
+
+
+def refuse_others(path: str) -> None:
+    """Raises for models whose ids this method would not give."""
+    with open(path, "rb") as f:
+        model = dict(x for x in fields(f.read()) if x[0] in (TRAINER, NORMALIZER))
+    trainer, normal = (dict(fields(model.get(k, b""))) for k in (TRAINER, NORMALIZER))
+    wrong = {
+        "is no BPE model": trainer.get(KIND, 1) != BPE,
+        "has no byte fallback": not trainer.get(BYTE_FALLBACK, 0),
+        "normalises characters": bool(normal.get(CHARSMAP, b"")),
+        "puts no space before texts": not normal.get(DUMMY_PREFIX, 1),
+        "removes spaces": bool(normal.get(REMOVE_SPACES, 1)),
+        "keeps spaces as they are": not normal.get(ESCAPE_SPACES, 1),
+    }
+    if any(wrong.values()):
+        raise ValueError(f"{path}: {', '.join(k for k, v in wrong.items() if v)}")
+
+
 class Vocabulary:
     """The model's pieces as arrays, with the merge tree of each."""
 
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
 
+        refuse_others(path)
         model = SentencePieceProcessor(model_file=path)
         n = model.vocab_size()
         self.pieces = [model.id_to_piece(i) for i in range(n)]
@@ -140,7 +197,6 @@ class Encoder:
             self.letters[row, : len(v.pieces[i])] = [ord(c) + 1 for c in v.pieces[i]]
         self.seam_keys = np.zeros(0, dtype=np.int64)
         self.seam_holds = np.zeros(0, dtype=bool)
-        self.table = SpanTable(REMEMBER)
         self.plain = re.compile(f"[^ {SPACE}]+| [^ {SPACE}]+")
         self.characters = np.zeros(0x110000, dtype=bool)
         self.characters[[ord(p) for p in v.id if len(p) == 1]] = True
@@ -234,8 +290,8 @@ class Encoder:
         at = np.repeat(low - ends + n, n) + np.arange(int(n.sum()))
         return order[at], np.repeat(self.v.usable, n)
 
-    def _relax(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of different words of known characters, in turn, and how many each has."""
+    def _relax(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of different words of known characters, in turn, how many each has, and which words took the queue."""
         joined = "\0".join(words) + "\0"
         code = np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32).astype(np.int64) + 1
         sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
@@ -283,26 +339,47 @@ class Encoder:
             out[begins[w[good]] + n[w[good]] - 1 - step] = p[good]
         for k, ids in slow.items():
             out[begins[k] : begins[k] + n[k]] = ids
-        return out, n
+        return out, n, broken
 
-    def _learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of different words in turn, and how many each has."""
+    def _learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of different words in turn, how many each has, and which came from the suffix array."""
         plain = [k for k, w in enumerate(words) if self.plain.fullmatch(w) and not (self.has_odd and self.has_odd.search(w))]
         found: list[np.ndarray | None] = [None] * len(words)
+        matched = np.zeros(len(words), dtype=bool)
         if plain:
-            ids, n = self._relax([words[k].replace(" ", SPACE) for k in plain])
+            ids, n, broken = self._relax([words[k].replace(" ", SPACE) for k in plain])
+            matched[plain] = ~broken
             for k, own in zip(plain, np.split(ids, np.cumsum(n)[:-1])):
                 found[k] = own
         for k, w in enumerate(words):
             if found[k] is None:
                 found[k] = np.array(self.v.ids(self.v.merge(w.replace(" ", SPACE))[0]), dtype=np.int32)
-        return np.concatenate(found), np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        return np.concatenate(found), np.fromiter(map(len, found), dtype=np.int64, count=len(found)), matched
+
+    @staticmethod
+    def _distinct(joined: str, code: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the words between bounds: the place of each different one, and which of these each word is."""
+        start, sizes = bounds[:-1], np.diff(bounds)
+        _, one, place = np.unique(span_hashes(code, start, bounds[1:]), return_index=True, return_inverse=True)
+        same = sizes == sizes[one[place]]
+        if same.all():  # the words tile the text, so their characters are the text's, in turn
+            alike = code[start[0] : bounds[-1]] == code[np.repeat(start[one[place]] - start, sizes) + np.arange(start[0], bounds[-1])]
+            if alike.all():
+                return one, place
+        words = [joined[a:b] for a, b in zip(start.tolist(), bounds[1:].tolist())]  # a hash that two words share
+        number = {w: i for i, w in enumerate(dict.fromkeys(words))}
+        place = np.array([number[w] for w in words])
+        return np.unique(place, return_index=True)[1], place
 
     def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text."""
+        return self.encode_counted(texts)[0]
+
+    def encode_counted(self, texts: list[str | None]) -> tuple[list[np.ndarray], np.ndarray]:
+        """The ids of each text, and how many of them came from the suffix array."""
         texts = [t or "" for t in texts]
         if not any(texts):
-            return [np.zeros(0, dtype=np.int32) for _ in texts]
+            return [np.zeros(0, dtype=np.int32) for _ in texts], np.zeros(len(texts), dtype=np.int64)
         joined = "".join(" " + t for t in texts if t)
         sizes = np.array([len(t) + 1 if t else 0 for t in texts])
         code = np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32)
@@ -315,10 +392,14 @@ class Encoder:
             begins[:-1] |= alone  # a character without a piece merges with nothing
             begins[1:] |= alone
         bounds = np.flatnonzero(begins)
-        words = self.table.find(span_hashes(code, bounds[:-1], bounds[1:]), lambda k: self._learn([joined[a:b] for a, b in zip(bounds[k].tolist(), bounds[k + 1].tolist())]))
-        ids, counts = self.table.gather(words)
-        total = np.concatenate([[0], np.cumsum(counts)])[np.searchsorted(bounds, np.cumsum(sizes))]
-        return np.split(ids.astype(np.int32), total[:-1])
+        one, place = self._distinct(joined, code, bounds)
+        pool, n, matched = self._learn([joined[bounds[k] : bounds[k + 1]] for k in one.tolist()])
+        each, first = n[place], np.cumsum(n) - n
+        ends = np.cumsum(each)
+        ids = pool[np.repeat(first[place] - ends + each, each) + np.arange(int(ends[-1]))]
+        texts_end = np.searchsorted(bounds, np.cumsum(sizes))
+        total, by_match = (np.concatenate([[0], np.cumsum(c)])[texts_end] for c in (each, each * matched[place]))
+        return np.split(ids.astype(np.int32), total[:-1]), np.diff(by_match, prepend=0)
 
     def decode_bytes(self, ids: np.ndarray) -> bytes:
         sizes = self.byte_sizes[ids]
@@ -348,11 +429,11 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared.value)
-        for batch in by_bytes(batches, 1):
+        for batch in by_bytes(batches, 1, BATCH):
             ids = pa.array(encoder.encode_all(batch.column(1).to_pylist()), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["doc_id", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(leanly(run, "pieces"), "doc_id long, ids array<int>")
+    return id_text(docs, id_col, text_col).mapInArrow(leanly(run, "pieces"), "doc_id long, ids array<int>")
 
 
 def decode(rows: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -365,22 +446,22 @@ def decode(rows: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: st
             texts = [None if x is None else encoder.decode(np.array(x, dtype=np.int64)) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(leanly(run, "pieces"), "doc_id long, text string")
+    return pick(rows, doc_id=id_col, ids=ids_col).select(F.col("doc_id").cast("long"), "ids").mapInArrow(leanly(run, "pieces"), "doc_id long, text string")
 
 
 def digests(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_ids, ids_crc32 (32-bit little-endian ids), round_trip: whether the decoded ids are the text again."""
+    """doc_id, n_ids, ids_crc32 (32-bit little-endian ids), round_trip (the decoded ids are the text again), n_matched (ids by the suffix array)."""
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(model_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared.value)
-        for batch in by_bytes(batches, 1):
+        for batch in by_bytes(batches, 1, BATCH):
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            ids = encoder.encode_all(texts)
+            ids, matched = encoder.encode_counted(texts)
             same = [encoder.decode_bytes(x) == (f" {t.replace(SPACE, ' ')}".encode() if t else b"") for x, t in zip(ids, texts)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(len, ids)), pa.int64()), pa.array([zlib.crc32(x.astype("<u4")) for x in ids], pa.int64()), pa.array(same)], ["doc_id", "n_ids", "ids_crc32", "round_trip"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(len, ids)), pa.int64()), pa.array([zlib.crc32(x.astype("<u4")) for x in ids], pa.int64()), pa.array(same), pa.array(matched)], ["doc_id", "n_ids", "ids_crc32", "round_trip", "n_matched"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(leanly(run, "pieces"), "doc_id long, n_ids long, ids_crc32 long, round_trip boolean")
+    return id_text(docs, id_col, text_col).mapInArrow(leanly(run, "pieces"), "doc_id long, n_ids long, ids_crc32 long, round_trip boolean, n_matched long")
 
 
 def default_path() -> str:

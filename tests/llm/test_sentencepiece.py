@@ -1,6 +1,7 @@
 """Encoding and decoding against the library."""
 
 import numpy as np
+import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -45,8 +46,30 @@ def test_documents(spark, documents, odd_rows):
     assert op4.decode(spark.createDataFrame([(1, None)], "doc_id long, ids array<int>"), op4.default_path()).first().text is None
 
 
-def test_a_full_memory_is_forgotten():
+def test_seams_that_are_forgotten(monkeypatch):
+    monkeypatch.setattr(op4, "REMEMBER", 3)
     own = op4.Encoder(ENCODER.v)
-    own.table.most = 3
     for k in range(4):
         assert own.encode_all([prose(30, k)])[0].tolist() == LIBRARY.encode(prose(30, k))
+
+
+def test_hashes_that_words_share(monkeypatch):
+    monkeypatch.setattr(op4, "span_hashes", lambda code, start, end: (end - start).astype(np.uint64))
+    texts = [prose(40, 3), "a bc de", "", "xy zw"]
+    assert [x.tolist() for x in ENCODER.encode_all(texts)] == [LIBRARY.encode(t) for t in texts]
+
+
+def test_ids_come_from_the_suffix_array(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = op4.digests(docs, op4.default_path()).agg({"n_ids": "sum", "n_matched": "sum"}).first()
+    assert rows["sum(n_matched)"] >= 0.99 * rows["sum(n_ids)"]
+
+
+def test_other_models_are_refused(tmp_path):
+    data = open(op4.default_path(), "rb").read()
+    op4.refuse_others(op4.default_path())
+    path = tmp_path / "other.model"
+    for more, why in ((bytes([18, 2, 24, 1]), "no BPE"), (bytes([26, 2, 32, 1]), "removes spaces"), (bytes([26, 5, 18, 3, 1, 2, 3]), "normalises")):
+        path.write_bytes(data + more)  # a later field of a message takes the place of the earlier one here
+        with pytest.raises(ValueError, match=why):
+            op4.Vocabulary(str(path))
