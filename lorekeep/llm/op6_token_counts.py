@@ -3,7 +3,9 @@
 A text is known by the SHA-256 of its content (null counts as the empty text),
 a tokenizer by the SHA-256 of its file, its library version and its options.
 Both digests are joined to the stored counts; of the contents that are not
-stored yet each is encoded once, and its count is appended to the cache.
+stored yet each is encoded once, and its count is appended to the cache.  Digests
+alone are compared.  Up to ``FEW`` misses are encoded where their texts lie; for more, texts
+are dealt by digest once.
 
 Edge cases: a null or empty text has 0 bytes and 0 tokens.  Rows whose ids
 repeat or are null keep one result row each.  An empty table gives no rows and
@@ -20,11 +22,13 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import by_bytes, leanly, materialise, shared_dir, table
+from .common import by_bytes, leanly, materialise, pick, shared_dir, table
 from .word_tokens import default_path, word_encoder
 
 CACHE_SCHEMA = "content_digest string, tokenizer_digest string, n_tokens long"
 OVER = 2048
+FEW = 100_000  # digests of 64 characters that may be sent to all tasks: 10 MB
+REMEMBER = 1_000_000
 
 
 def tokenizer_digest(path: str) -> str:
@@ -45,26 +49,32 @@ def read_cache(spark: SparkSession, cache_path: str) -> DataFrame | None:
 
 
 def _first_seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: set[str] = set()
+    """Rows whose digest the task has not met among the last ``REMEMBER`` different ones."""
+    seen: set[bytes] = set()
     for batch in batches:
         keep = []
         for i, d in enumerate(batch.column(0).to_pylist()):
             if d not in seen:
+                if len(seen) >= REMEMBER:
+                    seen.clear()
                 seen.add(d)
                 keep.append(i)
         if keep:
             yield batch.take(pa.array(keep))
 
 
-def count_tokens(docs: DataFrame, cache_path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = OVER) -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit), content_digest; fills the cache at ``cache_path``."""
+def fill_cache(docs: DataFrame, cache_path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Appends the counts of contents that the cache lacks; doc_id, n_bytes, content_digest of each row."""
     spark, version = docs.sparkSession, tokenizer_digest(tokenizer_path)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.select(F.col(id_col).alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("content_digest"))
-    content = docs.select(F.sha2(text, 256).alias("content_digest"), text.alias("content"))
+    rows = pick(docs, doc_id=id_col, content=text_col).withColumn("content", F.coalesce("content", F.lit("")))
+    rows = rows.withColumn("content_digest", F.sha2("content", 256))
+    keyed = materialise(rows.select("doc_id", F.octet_length("content").cast("long").alias("n_bytes"), "content_digest"))
+    # Digests alone decide what is to be encoded, and where: by the first row that has a content.
+    wanted = keyed.groupBy("content_digest").agg(F.min("doc_id").alias("first"))
     known = read_cache(spark, cache_path)
     if known is not None:
-        content = content.join(known.where(F.col("tokenizer_digest") == version), "content_digest", "left_anti")
+        wanted = wanted.join(known.where(F.col("tokenizer_digest") == version).select("content_digest"), "content_digest", "left_anti")
+    misses = materialise(wanted)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(tokenizer_path)
@@ -72,15 +82,33 @@ def count_tokens(docs: DataFrame, cache_path: str, tokenizer_path: str, id_col:
             counts = encoder.count_all(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), pa.array([version] * batch.num_rows, pa.string()), pa.array(counts, pa.int64())], ["content_digest", "tokenizer_digest", "n_tokens"])
 
-    # Copies meet once within each task, then by digest; so a text that fills a
-    # third of the table moves once for each task.
-    once = content.mapInArrow(_first_seen, content.schema).repartition("content_digest")
-    once.mapInArrow(leanly(encode, "words"), CACHE_SCHEMA).write.mode("append").parquet(cache_path)
-    stored = read_cache(spark, cache_path).where(F.col("tokenizer_digest") == version)
-    # As a table of its own, so that both sides of the join are plain exchanges and a hot digest's rows can be split.
+    lacking = misses.count()
+    if lacking and lacking <= FEW:  # their digests are sent, and the texts are encoded where they lie
+        mine = F.col("doc_id").eqNullSafe(F.col("first"))
+        texts = rows.join(F.broadcast(misses.withColumnRenamed("content_digest", "miss")), (F.col("content_digest") == F.col("miss")) & mine, "left_semi").select("content_digest", "content")
+    elif lacking:  # copies meet once within each task, then by digest, so a text that fills a third of the table moves once for each task
+        once = rows.select("content_digest", "content").mapInArrow(_first_seen, "content_digest string, content string")
+        texts = once.join(misses.hint("merge"), "content_digest", "left_semi")
+    if lacking:
+        new = texts.mapInArrow(leanly(encode, "words"), CACHE_SCHEMA).dropDuplicates(["content_digest", "tokenizer_digest"])
+        new.write.mode("append").parquet(cache_path)
+    return keyed
+
+
+def count_tokens(docs: DataFrame, cache_path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = OVER) -> DataFrame:
+    """doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit), content_digest; fills the cache at ``cache_path``."""
+    keyed = fill_cache(docs, cache_path, tokenizer_path, id_col, text_col)
+    stored = read_cache(docs.sparkSession, cache_path)
+    if stored is None:  # no rows, so nothing was stored
+        stored = docs.sparkSession.createDataFrame([], CACHE_SCHEMA)
+    # Of the cache only what this call asks for, as a table of its own: both sides of the last join are plain exchanges, and a hot digest's rows can be split.
+    stored = stored.where(F.col("tokenizer_digest") == tokenizer_digest(tokenizer_path)).join(keyed.select("content_digest"), "content_digest", "left_semi")
     counts = materialise(stored.groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens")))
     return keyed.join(counts, "content_digest", "left").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "content_digest")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return count_tokens(table(spark, sf_dir, "documents"), shared_dir(spark), default_path())
+    """Fills a cache, then answers every row from it: the second call finds all digests stored and encodes nothing."""
+    docs, path = table(spark, sf_dir, "documents"), shared_dir(spark)
+    fill_cache(docs, path, default_path())
+    return count_tokens(docs, path, default_path())

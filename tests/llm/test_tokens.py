@@ -86,7 +86,7 @@ def test_plans_use_every_length_as_counted(counts):
     n = np.zeros(65, dtype=np.int64)
     for k, v in counts.items():
         n[k] = v
-    plan, used = op8.solve(n, 64), np.zeros(65, dtype=np.int64)
+    (plan, bound), used = op8.solve(n, 64), np.zeros(65, dtype=np.int64)
     for config, times in plan:
         assert 0 < sum(config) <= 64 and times > 0
         for length in config:
@@ -94,7 +94,36 @@ def test_plans_use_every_length_as_counted(counts):
     assert (used == n).all()
     total = sum(t for _, t in plan)
     least = -(-int((n * np.arange(65)).sum()) // 64)
-    assert total >= least and total <= 2 * least + 1
+    assert least <= np.ceil(bound - 1e-6) <= total <= sum(k for _, k in op8.best_fit(n, 64))
+    assert total <= 1.25 * bound + len(counts)
+
+
+def test_plans_near_the_bound():
+    n = np.zeros(4097, dtype=np.int64)
+    n[[1300, 1366, 2049]] = 10_000
+    plan, bound = op8.solve(n, 4096)
+    assert 13_100 <= bound <= 13_334 and sum(k for _, k in plan) == 13_334
+    n = np.bincount(np.random.default_rng(1).integers(1, 65, 3000), minlength=65)
+    plan, bound = op8.solve(n, 64)
+    assert sum(k for _, k in plan) <= 1.02 * bound
+
+
+@settings(max_examples=30, deadline=None)
+@given(st.dictionaries(st.integers(1, 12), st.integers(1, 3), max_size=4))
+def test_bound_is_below_the_optimum(counts):
+    """The fewest sequences, by trying all packings of a few pieces."""
+    pieces = sorted((k for k, v in counts.items() for _ in range(v)), reverse=True)
+    n = np.bincount(pieces, minlength=13) if pieces else np.zeros(13, dtype=np.int64)
+
+    def fewest(i, rooms):
+        if i == len(pieces):
+            return len(rooms)
+        tried = [fewest(i + 1, rooms[:j] + [r - pieces[i]] + rooms[j + 1 :]) for j, r in enumerate(rooms) if r >= pieces[i] and r not in rooms[:j]]
+        return min([*tried, fewest(i + 1, [*rooms, 12 - pieces[i]])])
+
+    if len(pieces) <= 8:
+        plan, bound = op8.solve(n, 12)
+        assert bound <= fewest(0, []) + 1e-6 and sum(k for _, k in plan) <= fewest(0, []) + 1
 
 
 @settings(max_examples=60, deadline=None)
