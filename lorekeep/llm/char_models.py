@@ -26,7 +26,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_bytes, leanly, materialise
@@ -103,6 +103,18 @@ def count_grams(rows: DataFrame) -> DataFrame:
     return counted.groupBy("class", "gram").agg(F.sum("n").alias("n"))
 
 
+def apart_by_class(rows: DataFrame) -> Column:
+    """``apart`` (by class and key), set anew for classes that have no row on one side, where their ids allow it."""
+    sides = rows.groupBy("class").agg(F.count_if("apart").alias("apart"), F.count("*").alias("n")).collect()
+    apart = F.col("apart")
+    for label in sorted(r["class"] for r in sides if r["apart"] in (0, r["n"])):
+        keys = rows.where(F.col("class") == label).select("key").distinct()
+        ids = keys.count()
+        first = keys.orderBy("key").limit(max(1, ids // 10)).agg(F.max("key")).first()[0]
+        apart = F.when(F.col("class") == label, (F.col("key") <= first) if ids > 1 else F.lit(False)).otherwise(apart)
+    return apart
+
+
 def bounded(counts: DataFrame, cells: int | None = None) -> tuple[list[str], dict[str, tuple[np.ndarray, np.ndarray]]]:
     """The classes, and for each its n-grams with counts: all, or with ``cells`` its own most frequent ones."""
     counts = materialise(counts)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .char_models import CharModel, bounded, build, by_document, count_grams
+from .char_models import CharModel, apart_by_class, bounded, build, by_document, count_grams
 from .common import by_bytes, crc32_mod, leanly, materialise, numbered, pick, place, table
 
 SAMPLE = 20_000
@@ -57,19 +57,18 @@ class Toxicity:
 
 def features(log_p: np.ndarray, lengths: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """For each text: difference by word over all of it, and the highest mean over stretches of some lengths."""
-    out = np.zeros((len(sizes), 2 + len(STRETCHES)))
+    out = np.zeros((len(sizes), 1 + len(STRETCHES)))
     some = np.flatnonzero(sizes)
     if not len(some):
         return out
     more = log_p[:, 1] - log_p[:, 0]
     out[some, 0] = np.add.reduceat(more, first[some]) / sizes[some]
-    out[some, 1] = np.log1p(sizes[some])
     total = np.concatenate([[0.0], np.cumsum(more)])
     last = np.repeat(first + sizes, sizes)
     at = np.arange(len(more))
     for j, n in enumerate(STRETCHES):
         end = np.minimum(at + n, last)
-        out[some, 2 + j] = np.maximum.reduceat((total[end] - total[at]) / n, first[some])
+        out[some, 1 + j] = np.maximum.reduceat((total[end] - total[at]) / n, first[some])
     return out
 
 
@@ -88,18 +87,6 @@ def logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1.0, st
     return w
 
 
-def set_apart(rows: DataFrame) -> DataFrame:
-    """rows with ``apart`` set anew for classes that have no row on one side, where their ids allow it."""
-    sides = rows.groupBy("class").agg(F.count_if("apart").alias("apart"), F.count("*").alias("n")).collect()
-    apart = F.col("apart")
-    for label in sorted(r["class"] for r in sides if r["apart"] in (0, r["n"])):
-        keys = rows.where(F.col("class") == label).select("key").distinct()
-        ids = keys.count()
-        first = keys.orderBy("key").limit(max(1, ids // 10)).agg(F.max("key")).first()[0]
-        apart = F.when(F.col("class") == label, (F.col("key") <= first) if ids > 1 else F.lit(False)).otherwise(apart)
-    return rows.withColumn("apart", apart)
-
-
 def shares(apart: dict[str, int], sample: int) -> dict[str, int]:
     """Of how many rows one is kept, for each class: none of the rarer is lost before it fills half of the sample."""
     if sum(apart.values()) <= sample:
@@ -115,7 +102,8 @@ def fit(docs: DataFrame, labels: DataFrame, usable, id_col: str = "doc_id", text
     tenth = F.pmod(F.xxhash64(F.lit("calibration"), F.col("_id")), F.lit(10)) == 0
     # Merged whatever the labels' size, so that the plan is the same at every scale.
     rows = materialise(own.hint("merge").join(label, "_id").select(tenth.alias("apart"), F.xxhash64("_id").alias("key"), "class", "text"))
-    rows = set_apart(rows.where(F.col("class").isin("0", "1")))
+    rows = rows.where(F.col("class").isin("0", "1"))
+    rows = rows.withColumn("apart", apart_by_class(rows))
     classes, counts = bounded(count_grams(rows.where(~F.col("apart"))), cells)
     nothing = Toxicity(None, np.zeros(1), np.zeros(0), np.ones(0))
     if classes != ["0", "1"]:
@@ -135,8 +123,8 @@ def fit(docs: DataFrame, labels: DataFrame, usable, id_col: str = "doc_id", text
     found = apart.where(F.pmod("key", share) == 0).select("class", "text", "key").mapInArrow(leanly(describe), "class string, x array<double>, key long").orderBy("key", "class", "x").toPandas()
     kept = found["class"].value_counts().to_dict()
     if len(kept) < 2:
-        out.centre, out.scale = np.zeros(2 + len(STRETCHES)), np.ones(2 + len(STRETCHES))
-        out.weight = np.array([np.log(CUT / (1 - CUT)) - 1e-9, 1.0, 0.0, *(0.0 for _ in STRETCHES)])
+        out.centre, out.scale = np.zeros(1 + len(STRETCHES)), np.ones(1 + len(STRETCHES))
+        out.weight = np.array([np.log(CUT / (1 - CUT)) - 1e-9, 1.0, *(0.0 for _ in STRETCHES)])
         return out
     n = np.array([sizes[c] / kept[c] for c in found["class"]])
     y, x = (found["class"] == "1").to_numpy(dtype=float), np.array(found["x"].tolist())

@@ -91,6 +91,18 @@ def test_language_on_held_out_rows(spark):
     assert found.count() == docs.count() and both.score.between(0, 1).all()
 
 
+def test_rejection_on_rows_held_apart(spark):
+    """Held-out texts are rejected about as often as asked, whatever the number of rows; other languages always."""
+    for sf in ("sf0.01", "sf0.1"):
+        docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").select("doc_id", "text", "lang")
+        strange = spark.createDataFrame([(-5 * i, " ".join("xqzwv jkpxq wvzzk qqxj vwkz".split()[(i + j) % 5] for j in range(30)), None) for i in range(1, 40)], docs.schema)
+        held = (crc32_mod(F.col("doc_id"), 5) == 0) | (F.col("doc_id") < 0)
+        found = op10.language(docs.union(strange), held).where("held_out AND lang_pred != 'und'").select("doc_id", "rejected").toPandas()
+        own = found[found.doc_id >= 0].rejected
+        assert own.mean() <= 2 * op10.REJECT + 2 / len(own), sf
+        assert found[found.doc_id < 0].rejected.all()
+
+
 def test_language_edges(spark, documents, odd_rows):
     rows = [(i, t, "en" if i and i % 2 else None) for i, t in odd_rows] + [(400 + i, "le chat est sur la table " * 3, "fr") for i in range(20)] + [(500, "12 ² ½ !"), (501, "²a")]
     docs = documents(rows)
