@@ -3,9 +3,9 @@
 A text is normalised (each run of white space becomes one space) and cut where
 its content says so: a chunk has 512 characters at least and ends after the next
 cut mark, or after 4096 characters.  Cut marks: a word that ends in one of four letter pairs, a
-semicolon or brace before a space, some pairs of a digit and a letter (for texts without words), and from
-U+0250 on every 64th character (for scripts without spaces).  Texts that share a
-passage so share the chunks inside it.
+semicolon or brace before a space, some pairs of a digit and a letter (for texts without words), a word of
+another script with spaces, and some characters of scripts without (in few ranges, as long
+classes are slow).  Texts that share a passage so share the chunks inside it.
 
 Every distinct chunk moves once: the chunk store deals them by hash and chunk
 and finds the 64-bit hashes that stand for more than one chunk.  A hash that
@@ -32,7 +32,7 @@ from .common import materialise, numbered, pick, place, table
 
 # A run of white space that is not already a single space.
 RUN = r"\x20[\x20\x09-\x0D]+|[\x09-\x0D][\x20\x09-\x0D]*"
-MARKS = r"[eo][nt]\x20|[;}]\x20|[07][AKak]|[" + "".join(f"\\u{c:04X}" for c in range(0x250, 0xD800, 64)) + "]"
+MARKS = r"[eo][nt]\x20|[;}]\x20|[07][AKak]|[\u0370-\u2FFF]\x20|[\u3001\u3002\u306E\u4E00-\u4E3F\u6200-\u623F\u7684\u8FD9-\u8FFF\uAC00-\uAC3F\uB2E4]"
 CHUNK = rf"(?s).{{512,4096}}?(?:{MARKS})|.{{1,4096}}"
 MOST_COLLISIONS = 10_000
 
