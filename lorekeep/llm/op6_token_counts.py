@@ -102,7 +102,7 @@ def count_tokens(docs: DataFrame, cache_path: str, tokenizer_path: str, id_col:
     if stored is None:  # no rows, so nothing was stored
         stored = docs.sparkSession.createDataFrame([], CACHE_SCHEMA)
     # Of the cache only what this call asks for, as a table of its own: both sides of the last join are plain exchanges, and a hot digest's rows can be split.
-    stored = stored.where(F.col("tokenizer_digest") == tokenizer_digest(tokenizer_path)).join(keyed.select("content_digest"), "content_digest", "left_semi")
+    stored = stored.where(F.col("tokenizer_digest") == tokenizer_digest(tokenizer_path)).join(keyed.select("content_digest").distinct(), "content_digest", "left_semi")
     counts = materialise(stored.groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens")))
     return keyed.join(counts, "content_digest", "left").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "content_digest")
 
