@@ -46,7 +46,7 @@ from .common import by_bytes, held, id_text, leanly, pick, table
 from .word_tokens import span_hashes
 
 REMEMBER = 1_000_000  # seams whose answer is kept
-BATCH = 4 << 20  # bytes of text indexed together
+BATCH = 8 << 20  # bytes of text indexed together
 SPACE = "▁"
 LAST = np.int64(1) << 40  # a rank beyond all
 
