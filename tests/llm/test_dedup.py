@@ -171,6 +171,15 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
     chain = [(i, i + 1) for i in range(200)]
     assert set(dict(components(spark.createDataFrame(chain, "u long, v long")).collect()).values()) == {0}
+    rng = np.random.default_rng(11)
+    for size, count in ((30, 12), (60, 55), (40, 200)):
+        edges = [(int(a), int(b)) for a, b in rng.integers(-size // 2, size // 2, (count, 2))]
+        root = {x: x for e in edges if e[0] != e[1] for x in e}
+        for _ in root:
+            for a, b in edges:
+                if a != b:
+                    root[a] = root[b] = min(root[a], root[b])
+        assert dict(components(spark.createDataFrame(edges, "u long, v long")).collect()) == root
 
 
 def test_alike_sets_share_a_key_at_any_similarity():
