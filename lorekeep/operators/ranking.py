@@ -7,9 +7,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 RRF = 60
 CANDIDATES = (20, 100)
+SAMPLE = 100  # keys for each range of positions, to choose its bounds
 
 
 def candidate_limit(limit: int) -> int:
@@ -58,13 +60,18 @@ def first_by(rows: DataFrame, by: list[str], order: list, k: int = 1) -> DataFra
 def positions(rows: DataFrame, order: list[Column], partitions: int = 64) -> DataFrame:
     """``rows`` with ``position``, from 1, in a global order.
 
-    Rows are dealt by range and numbered within; only a count for each partition
-    meets in one task.
+    Rows are dealt to ranges and numbered within; only a count for each range
+    meets in one task.  The ranges' bounds, of a sample of keys, are values: the
+    rows are read once to be counted and once to be numbered, and fall in the
+    same ranges both times.  (Spark's own range partitioning samples anew each time.)
     """
-    sort = [F.struct(*order).alias("_by")]
-    dealt = rows.select("*", *sort).repartitionByRange(partitions, "_by").sortWithinPartitions("_by")
-    numbered = dealt.withColumn("_id", F.monotonically_increasing_id()).drop("_by")
-    numbered = numbered.withColumn("_part", F.shiftright("_id", 33)).withColumn("_nth", F.col("_id").bitwiseAND((1 << 33) - 1))
-    sizes = numbered.groupBy("_part").agg(F.count("*").alias("_rows"))
+    by = rows.select("*", F.struct(*order).alias("_by"))
+    some = by.select("_by").orderBy(F.rand()).limit(SAMPLE * partitions)
+    keys = some.agg(F.array_sort(F.collect_list("_by"))).first()[0]
+    bounds = T.StructType([T.StructField("_bounds", T.ArrayType(by.schema["_by"].dataType))])
+    fixed = rows.sparkSession.createDataFrame([(keys[:: max(1, -(-len(keys) // partitions))],)], bounds)
+    dealt = by.crossJoin(F.broadcast(fixed)).withColumn("_part", F.size(F.filter("_bounds", lambda b: b < F.col("_by")))).drop("_bounds")
+    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_rows"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_rows").over(W.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    return numbered.join(F.broadcast(before.select("_part", "_before")), "_part").select(*rows.columns, (F.col("_before") + F.col("_nth") + 1).alias("position"))
+    numbered = dealt.withColumn("_nth", F.row_number().over(W.partitionBy("_part").orderBy("_by")))
+    return numbered.join(F.broadcast(before.select("_part", "_before")), "_part").select(*rows.columns, (F.col("_before") + F.col("_nth")).alias("position"))

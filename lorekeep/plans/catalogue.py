@@ -444,7 +444,8 @@ def tag_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("q27_path_order", f"WITH {UNITS_SQL} SELECT path, row_number() OVER (ORDER BY string_split(path, '/')) AS position FROM u")
 def path_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranking.positions(units(spark, sf_dir).select("path"), [X.path_order(F.col("path"))], 16)
+    path = F.col("path")
+    return ranking.positions(units(spark, sf_dir).select("path"), [path.isNull(), X.path_order(path)], 16)  # no path comes last, as in SQL
 
 
 @query("q28_rfc3339", "SELECT event_id, strftime(to_timestamp(epoch_us(ts) // 1000000) AT TIME ZONE 'UTC', '%Y-%m-%dT%H:%M:%SZ') AS modified_at FROM events")

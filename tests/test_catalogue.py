@@ -29,6 +29,19 @@ def test_query_equals_sql(spark, duck, name):
     assert rows(catalogue.QUERIES[name](spark, SF).toPandas()) == rows(duck.sql(catalogue.ORACLE[name]).df())
 
 
+def test_positions_of_more_rows_than_a_sample_holds(spark, duck, tmp_path):
+    """Ranges must be the same when rows are counted and when they are numbered; no path comes last."""
+    doc = F.col("id")
+    lang = F.when(doc % 1000 == 0, F.lit(None)).otherwise(F.concat(F.lit("l"), doc % 7))
+    many = spark.range(30_000, numPartitions=6).select(doc.alias("doc_id"), F.lit("").alias("text"), lang.alias("lang"), F.concat(F.lit("s"), (doc * 7919 % 101)).alias("source"))
+    many.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = catalogue.QUERIES["q27_path_order"](spark, str(tmp_path)).toPandas()
+    assert sorted(got.position) == list(range(1, 30_001))
+    assert rows(got) == rows(con.sql(catalogue.ORACLE["q27_path_order"]).df())
+
+
 def test_chunks_keep_the_limit(spark):
     found = catalogue.QUERIES["q29_markdown_chunks"](spark, SF).toPandas()
     assert found["length"].max() + 16 <= 512
