@@ -146,6 +146,16 @@ def test_keys_that_no_map_holds(documents, odd_rows, monkeypatch):
     assert op2.jaccard_components(documents(rows).limit(0)).count() == 0
 
 
+def test_copies_share_no_key(documents, monkeypatch):
+    """Copies in many tasks are one node: only sets that may link with a different one are written and moved."""
+    rows = [(i, prose(60, 900 + i % 40)) for i in range(400)] + [(500, prose(60, 900) + " x")]
+    moved = []
+    links = op2.links
+    monkeypatch.setattr(op2, "links", lambda sets, postings, s: moved.append((sets.select("node").distinct().count(), postings.select("node").distinct().count())) or links(sets, postings, s))
+    assert near(op2.jaccard_components(documents(rows).repartition(8))) == brute_near(rows)
+    assert moved == [(2, 2)]
+
+
 def test_near_duplicates_equal_sql(spark):
     path = "/root/testdata/sf0.001/documents.parquet"
     con = duckdb.connect()
