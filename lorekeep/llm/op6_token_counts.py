@@ -4,8 +4,9 @@ A text is known by the SHA-256 of its content (null counts as the empty text),
 a tokenizer by the SHA-256 of its file, its library version and its options.
 Both digests are joined to the stored counts; of the contents that are not
 stored yet each is encoded once, and its count is appended to the cache.  Digests
-alone are compared.  Up to ``FEW`` misses are encoded where their texts lie; for more, texts
-are dealt by digest once.
+alone are compared and moved: texts are encoded where they lie, whatever their
+number.  A Bloom filter of (digest, first id) tells the tasks which rows; a row
+that passes it by chance is encoded in vain, and its count is dropped.
 
 Edge cases: a null or empty text has 0 bytes and 0 tokens.  Rows whose ids
 repeat or are null keep one result row each.  An empty table gives no rows and
@@ -22,12 +23,13 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bloom import Bloom, bloom_of
 from .common import by_bytes, leanly, materialise, pick, shared_dir, table
 from .word_tokens import default_path, word_encoder
 
 CACHE_SCHEMA = "content_digest string, tokenizer_digest string, n_tokens long"
 OVER = 2048
-FEW = 100_000  # digests of 64 characters that may be sent to all tasks: 10 MB
+MAP_BITS = (20, 28)  # of the filter of misses: 128 kB to 32 MB
 REMEMBER = 1_000_000
 
 
@@ -76,22 +78,25 @@ def fill_cache(docs: DataFrame, cache_path: str, tokenizer_path: str, id_col: st
         wanted = wanted.join(known.where(F.col("tokenizer_digest") == version).select("content_digest"), "content_digest", "left_anti")
     misses = materialise(wanted)
 
+    if not misses.limit(1).count():
+        return keyed
+    sent = spark.sparkContext.broadcast(bloom_of(materialise(misses.select(F.xxhash64("content_digest", "first").alias("mark"))), MAP_BITS))
+
+    def missed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = Bloom(*sent.value)
+        for batch in batches:
+            yield batch.filter(pa.array(marks.has(batch.column(2).to_numpy())))
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(tokenizer_path)
-        for batch in by_bytes(_first_seen(batches), 1, 1 << 20):
+        for batch in by_bytes(_first_seen(missed(batches)), 1, 1 << 20):
             counts = encoder.count_all(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), pa.array([version] * batch.num_rows, pa.string()), pa.array(counts, pa.int64())], ["content_digest", "tokenizer_digest", "n_tokens"])
 
-    lacking = misses.count()
-    if lacking and lacking <= FEW:  # their digests are sent, and the texts are encoded where they lie
-        mine = F.col("doc_id").eqNullSafe(F.col("first"))
-        texts = rows.join(F.broadcast(misses.withColumnRenamed("content_digest", "miss")), (F.col("content_digest") == F.col("miss")) & mine, "left_semi").select("content_digest", "content")
-    elif lacking:  # copies meet once within each task, then by digest, so a text that fills a third of the table moves once for each task
-        once = rows.select("content_digest", "content").mapInArrow(_first_seen, "content_digest string, content string")
-        texts = once.join(misses.hint("merge"), "content_digest", "left_semi")
-    if lacking:
-        new = texts.mapInArrow(leanly(encode, "words"), CACHE_SCHEMA).dropDuplicates(["content_digest", "tokenizer_digest"])
-        new.write.mode("append").parquet(cache_path)
+    # The row with the first id of a content stands for all its copies.
+    texts = rows.select("content_digest", "content", F.xxhash64("content_digest", "doc_id").alias("mark"))
+    new = materialise(texts.mapInArrow(leanly(encode, "words"), CACHE_SCHEMA).dropDuplicates(["content_digest"]))
+    new.join(misses, "content_digest", "left_semi").select("content_digest", "tokenizer_digest", "n_tokens").write.mode("append").parquet(cache_path)
     return keyed
 
 

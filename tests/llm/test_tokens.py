@@ -53,6 +53,23 @@ def test_counts(spark, documents, odd_rows):
     assert op6.count_tokens(docs.limit(0), shared_dir(spark), default_path()).count() == 0
 
 
+def test_texts_stay_where_they_lie(spark, documents, monkeypatch):
+    """However many contents are missing, no exchange moves texts; what passes a full filter by chance is not stored again."""
+    rows = [(i, prose(12, i % 150)) for i in range(300)]
+    docs, path, plans = documents(rows).repartition(3), shared_dir(spark), []
+    monkeypatch.setattr(op6, "FEW", 10, raising=False)
+    monkeypatch.setattr(op6, "MAP_BITS", (1, 2), raising=False)
+    written = op6.materialise
+    monkeypatch.setattr(op6, "leanly", lambda f, *a: lambda batches: f(batches))
+    monkeypatch.setattr(op6, "materialise", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or written(df))
+    op6.fill_cache(docs.where("doc_id < 100"), path, default_path())
+    op6.fill_cache(docs, path, default_path())
+    stored = spark.read.parquet(path).collect()
+    assert len(stored) == len({r.content_digest for r in stored}) == 150
+    encoded = [p for p in plans if "MapInArrow" in p]
+    assert encoded and not any("Join" in p[p.index("MapInArrow") :] or "MapInArrow" in p[p.index("MapInArrow") + 1 :] for p in encoded)
+
+
 def check_packing(rows, got, capacity):
     lengths = {}
     for r in got:
