@@ -9,8 +9,10 @@
    dynamic program prices configurations under the present weights, and lengths
    covered too little gain weight.  Each pricing also bounds the number of sequences from below.  The
    fractional solution is rounded down to
-   what the counts allow, and the rest is filled best-fit, by counts; the plan is
-   never worse than best-fit alone, and rounds end within ``GAP`` of the bound.
+   what the counts allow, and the rest is filled best-fit, by counts.  The program
+   is solved for every histogram, with more rounds unless within ``GAP`` of the bound;
+   best-fit alone only checks its plan: where rounding made it worse, as with few
+   pieces, the rounded configurations that are least full go to the rest.
 3. The plan is a table of runs: the pieces of one length with numbers in a
    range fill a place of one configuration.  Its size depends on ``capacity``
    alone, never on the number of documents.
@@ -183,21 +185,32 @@ def best_fit(left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int
 def solve(counts: np.ndarray, capacity: int) -> tuple[list[tuple[tuple[int, ...], int]], float]:
     """Configurations with multiples that use every length exactly as often as counted, and a lower bound of their number.
 
-    The program's plan with ever more rounds until it is within ``GAP`` of the bound;
-    the least of these and of best-fit alone.
+    The program's plan, with more rounds where it is not within ``GAP`` of the bound.
+    Of its rounded configurations, fullest first, as many are kept as leave the
+    plan no worse than best-fit alone.
     """
     def used(plan: list[tuple[tuple[int, ...], int]]) -> int:
         return sum(k for _, k in plan)
 
-    best, bound = best_fit(counts, capacity), size_bound(counts, capacity)
+    def filled(kept: list[tuple[tuple[int, ...], int]]) -> list[tuple[tuple[int, ...], int]]:
+        left = counts.copy()
+        for config, k in kept:
+            np.subtract.at(left, list(config), k)
+        return kept + best_fit(left, capacity)
+
+    most, bound, plans = used(best_fit(counts, capacity)), size_bound(counts, capacity), []
     for rounds in (ROUNDS, 2 * ROUNDS):
-        if used(best) <= np.ceil(bound - 1e-6) * (1 + GAP):
-            break
         found, dual = fractional(counts, capacity, rounds)
         bound = max(bound, dual)
-        plan, left = round_down(counts, found, capacity)
-        best = min(best, plan + best_fit(left, capacity), key=used)
-    return best, bound
+        kept = sorted(round_down(counts, found, capacity)[0], key=lambda g: -sum(g[0]))
+        plan = filled(kept)
+        while used(plan) > most:
+            kept = kept[: len(kept) // 2]
+            plan = filled(kept)
+        plans.append(plan)
+        if used(plan) <= np.ceil(bound - 1e-6) * (1 + GAP):
+            break
+    return min(plans, key=used), bound
 
 
 def runs(plan: list[tuple[tuple[int, ...], int]]) -> np.ndarray:

@@ -115,6 +115,17 @@ def test_plans_use_every_length_as_counted(counts):
     assert total <= 1.25 * bound + len(counts)
 
 
+def test_the_program_is_always_solved(monkeypatch):
+    """Also where best-fit alone is near the bound; its configurations make the plan."""
+    solved, own = [], op8.fractional
+    monkeypatch.setattr(op8, "fractional", lambda *a: solved.append(own(*a)) or solved[-1])
+    n = np.bincount(np.random.default_rng(5).integers(1, 65, 100_000), minlength=65)
+    assert sum(k for _, k in op8.best_fit(n, 64)) <= 1.001 * op8.size_bound(n, 64)
+    plan, bound = op8.solve(n, 64)
+    assert solved and sum(k for _, k in plan) <= 1.001 * np.ceil(bound)
+    assert sum(k for c, k in plan if c in solved[0][0]) > 0.9 * sum(k for _, k in plan)
+
+
 def test_plans_near_the_bound():
     n = np.zeros(4097, dtype=np.int64)
     n[[1300, 1366, 2049]] = 10_000
