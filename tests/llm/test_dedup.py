@@ -2,16 +2,19 @@
 
 import hashlib
 import re
+import tracemalloc
 from fractions import Fraction
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lorekeep.llm import op2_ngram_join as op2
 from lorekeep.llm import op9_exact_dedup as op9
+from lorekeep.llm.common import batch_bytes
 from lorekeep.llm.components import components
 from lorekeep.llm.shingles import shingle_sets
 
@@ -174,6 +177,41 @@ def test_shingle_counts(texts):
             assert len(np.intersect1d(a, b)) == len(shingles(t) & shingles(u))
 
 
+def test_shingles_of_long_texts_in_little_memory(monkeypatch):
+    text = prose(200_000, 21)
+    texts = [text, None, "x" * 300, "one two", text[:900_000]]
+    shingle_sets(["warm"])
+    tracemalloc.start()
+    sets = shingle_sets(texts)
+    peak = tracemalloc.get_traced_memory()[1] - sum(s.nbytes for s in sets)
+    tracemalloc.stop()
+    assert peak < 24 * sum(len(t or "") for t in texts)
+    monkeypatch.setattr("lorekeep.llm.shingles.AT_ONCE", 100)
+    assert all(np.array_equal(a, b) for a, b in zip(sets, shingle_sets(texts), strict=True))
+
+
+def test_batches_sent_to_python_are_of_bounded_bytes(spark, documents, monkeypatch):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, seen, write = spark.conf.get(key), [], op2.materialise
+
+    def watched(df):
+        if "MapInArrow" in df._jdf.queryExecution().executedPlan().toString():
+            seen.append(spark.conf.get(key))
+        return write(df)
+
+    monkeypatch.setattr(op2, "materialise", watched)
+    op2.jaccard_components(documents([(i, prose(60, i // 3)) for i in range(30)])).collect()
+    assert len(seen) >= 3 and set(seen) == {op2.BATCH} and spark.conf.get(key) == before
+
+    rows = spark.range(0, 64, 1, 1).select(F.repeat(F.lit("x"), 1 << 20).alias("text"))
+    size = lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches)
+    with batch_bytes(spark, op2.BATCH):
+        assert max(r["n"] for r in rows.mapInArrow(size, "n long").collect()) < 9 << 20
+        with batch_bytes(spark, "1g"):
+            assert spark.conf.get(key) == op2.BATCH
+    assert spark.conf.get(key) == before
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (5, 4), (6, 6), (9, 8), (8, 7), (7, 10), *((100, 101 + i) for i in range(50)), (3, 1)]
     got = dict(components(spark.createDataFrame(edges, "u long, v long")).collect())
